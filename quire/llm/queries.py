@@ -10,6 +10,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(modulus: int, rest: int, equal: bool) -> "F.Column":
+    """Whether crc32 of the id as text has (or, with equal false, has not) that remainder."""
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % modulus == rest
+    return hit if equal else ~hit
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.language_id import identify
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, docs.where(held_out(5, 0, False)))
+    return found.withColumn("held_out", held_out(5, 0, True)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.simhash import near_duplicates
 
@@ -17,5 +31,5 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op8_simhash,)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op8_simhash)}
 SQL: dict[str, str] = {}

@@ -138,3 +138,16 @@ def gram_mask(bounds: np.ndarray, k: int) -> np.ndarray:
 def owners(bounds: np.ndarray) -> np.ndarray:
     """The document of each word."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+
+def code_points(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A slice's code points, and the bounds of its documents in them; malformed bytes become U+FFFD."""
+    lead = (data & 0xC0) != 0x80
+    points = np.concatenate(([0], np.cumsum(lead)))[bounds]
+    try:
+        text = data.tobytes().decode("utf-8")
+    except UnicodeDecodeError:
+        each = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(bounds, bounds[1:], strict=False)]
+        text = "".join(each)
+        points = np.concatenate(([0], np.cumsum([len(x) for x in each], dtype=np.int64)))
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), points
