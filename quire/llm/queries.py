@@ -31,5 +31,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op8_simhash)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.quality import judge
+
+    found = judge(table(spark, sf_dir, "documents"))
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl"]
+    return found.select(*names)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op8_simhash, op9_quality)}
 SQL: dict[str, str] = {}
