@@ -39,5 +39,23 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*names)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op8_simhash, op9_quality)}
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), window=1024, end_id=0)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op8_simhash, op9_quality, op10_packing)}
 SQL: dict[str, str] = {}
