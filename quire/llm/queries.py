@@ -57,5 +57,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), window=1024, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op8_simhash, op9_quality, op10_packing)}
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op7_substrings, op8_simhash, op9_quality, op10_packing)}
 SQL: dict[str, str] = {}
