@@ -63,5 +63,14 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op7_substrings, op8_simhash, op9_quality, op10_packing)}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.toxicity import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    train = held_out(3, 1, False)
+    found = toxicity(docs, docs.where(train), table(spark, sf_dir, "labels").where(train), threshold=0.7)
+    return found.select("doc_id", held_out(3, 1, True).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op5_toxicity, op7_substrings, op8_simhash, op9_quality, op10_packing)}
 SQL: dict[str, str] = {}
