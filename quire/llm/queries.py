@@ -72,5 +72,46 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(3, 1, True).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op5_toxicity, op7_substrings, op8_simhash, op9_quality, op10_packing)}
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.warc import archive, captures
+
+    found = captures(spark, archive(table(spark, sf_dir, "pages"), least_revisit=0), payloads=False)
+    fields = F.col("metadata.fields")
+    return found.select(
+        fields["sourceId"].cast("bigint").alias("page_id"),
+        F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        F.when(F.col("response.type") == "revisit", fields["refersToSourceId"].cast("bigint")).alias("refers_to"),
+    )
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.chat import format_conversations, loss_text, read_back
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    made = format_conversations(turns.unionByName(probe))
+    read = made.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    spelled = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(spelled, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.secrets import KINDS, find_secrets, spelled
+
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda s: s.kind == KINDS.index(k))).cast("bigint").alias(f"n_{k}")
+    return found.select("doc_id", *map(count, KINDS[:3]), F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_warc, op4_chat, op5_toxicity, op6_secrets, op7_substrings, op8_simhash, op9_quality, op10_packing)}
 SQL: dict[str, str] = {}
