@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.scratch import release, written
+from quire.llm.scratch import release, remove, stored, written
 from quire.llm.text_arrays import gram_hashes, mix, owners, slices, span_hashes, split_words, word_hashes
 
 K = 8
@@ -127,11 +127,12 @@ def _expand(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
     """(dk, th, first, size): the windows first to first + size - 1 of the row with that key repeat somewhere."""
     keyed = _keyed(docs, id_col, text_col)
-    found = written(_find_paths(keyed, window), "paths")
+    found, place = stored(_find_paths(keyed, window), "paths")
     # 2. minimizers that occur more than once, and whether with different contents
     shared = found.groupBy("m").agg(F.count("*").alias("times"), F.min("c").alias("low"), F.max("c").alias("high"))
     shared = shared.where("times > 1").select("m", (F.col("low") != F.col("high")).alias("branches"))
     rest = written(found.join(shared, "m"), "shared-paths")
+    remove(docs.sparkSession, place)  # what follows reads the shared ones only
     release(docs.sparkSession)
     # 3. whole paths that repeat
     contents = rest.groupBy("m", "c", "branches").agg(F.count("*").alias("times"), F.min(F.struct("dk", "th", "a", "n")).alias("one"))
