@@ -130,7 +130,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found, place = stored(_find_paths(keyed, window), "paths")
     # 2. minimizers that occur more than once, and whether with different contents
     shared = found.groupBy("m").agg(F.count("*").alias("times"), F.min("c").alias("low"), F.max("c").alias("high"))
-    shared = shared.where("times > 1").select("m", (F.col("low") != F.col("high")).alias("branches"))
+    shared = written(shared.where("times > 1").select("m", (F.col("low") != F.col("high")).alias("branches")), "shared")
     rest = written(found.join(shared, "m"), "shared-paths")
     remove(docs.sparkSession, place)  # what follows reads the shared ones only
     release(docs.sparkSession)
