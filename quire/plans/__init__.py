@@ -1,5 +1,6 @@
 """Registered queries and their SQL."""
 
+from quire.plans import documents, pagesets  # noqa: F401
 from quire.plans.catalog import QUERIES, SQL
 
 
