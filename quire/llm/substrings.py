@@ -141,7 +141,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # 4. windows of the paths that branch
     wanted = contents.where("branches").select("one.*", "m", (F.col("times") == 1).alias("alone"))
     single = written(_expand(keyed, wanted, window), "windows")
-    twice = single.groupBy("m", "w").agg(F.count("*").alias("times")).where("times > 1").select("m", "w")
+    twice = written(single.groupBy("m", "w").agg(F.count("*").alias("times")).where("times > 1").select("m", "w"), "twice")
     release(docs.sparkSession)
     parts = single.where("alone").join(twice, ["m", "w"]).select("dk", "th", F.col("at").alias("first"), F.lit(1).alias("size"))
     return whole.unionByName(parts)
