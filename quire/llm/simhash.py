@@ -130,6 +130,23 @@ def _spread(members: np.ndarray, m: int, distance: int) -> Iterator[tuple[np.nda
             front = np.concatenate(reached) if reached else front[:0]
 
 
+def _forest(entry: np.ndarray, a: np.ndarray, b: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Those of an entry's links (in order) that join two parts of it; fewer than three never close a circle."""
+    edge = np.flatnonzero(np.concatenate(([True], entry[1:] != entry[:-1], [True]))) if len(entry) else np.zeros(1, np.int64)
+    keep = np.ones(len(hit), bool)
+    for k in np.flatnonzero(np.diff(edge) > 2).tolist():
+        root: dict[int, int] = {}
+        for x in range(edge[k], edge[k + 1]):
+            p, q = int(a[x]), int(b[x])
+            while root.get(p, p) != p:
+                p = root[p]
+            while root.get(q, q) != q:
+                q = root[q]
+            keep[x] = p != q
+            root[max(p, q)] = min(p, q)
+    return hit[keep]
+
+
 def entry_links(keys: np.ndarray, prints: np.ndarray, m: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among the fingerprints of equal keys (sorted together)."""
     edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
@@ -142,7 +159,8 @@ def entry_links(keys: np.ndarray, prints: np.ndarray, m: int, distance: int) ->
         for at in range(0, len(first), block):
             a = (first[at : at + block, None] + i).ravel()
             b = (first[at : at + block, None] + j).ravel()
-            hit = linked(prints[a] ^ prints[b], m, distance)
+            hit = np.flatnonzero(linked(prints[a] ^ prints[b], m, distance))
+            hit = _forest(hit // len(i), a[hit], b[hit], hit)
             left.append(prints[a[hit]])
             right.append(prints[b[hit]])
     for k in np.flatnonzero(size > SMALL_ENTRY).tolist():
@@ -166,7 +184,7 @@ def links(prints: DataFrame, n: int, distance: int = 4, reach: int | None = None
         mask = sum(((1 << parts[i][1]) - 1) << parts[i][0] for i in chosen)
         masks.append(mask - (1 << BITS) if mask >= 1 << (BITS - 1) else mask)
     entries = prints.select("fp", F.posexplode(F.array([F.col("fp").bitwiseAND(F.lit(x)) for x in masks])).alias("seed", "key"))
-    entries = entries.repartition("seed", "key").sortWithinPartitions("seed", "key")
+    entries = entries.repartition("seed", "key").sortWithinPartitions("seed", "key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -205,7 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(links(nodes.select("fp"), nodes.count(), distance, reach)).withColumnRenamed("node", "fp")
     placed = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = written(placed, "placed")
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = written(placed.groupBy("root").agg(F.min("least").alias("component_id")), "named")
     return rows.join(placed.join(named, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
