@@ -20,6 +20,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.arrays import running_spans
+
 # The template's markers, and control strings of common templates.
 START, SEP, TURN, END = "<|im_start|>", "<|im_sep|>", "<|im_turn|>", "<|im_end|>"
 CONTROLS = [START, SEP, TURN, END, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]"]
@@ -51,21 +53,16 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     formatted = F.array_join(F.transform("blocks", lambda b: F.concat(b.head, F.array_join(b.texts, TURN), F.lit(END + "\n"))), "")
 
     def piece(size: Column, learn: Column) -> Column:
-        return F.struct(size.cast("bigint").alias("size"), learn.alias("learn"))
+        return F.struct(size.cast("int").alias("size"), learn.alias("learn"))
 
     def piecewise(b: Column) -> Column:
         no = F.lit(False)
         texts = F.transform(b.texts, lambda t, i: F.array(piece(F.when(i == 0, 0).otherwise(len(TURN)), no), piece(F.length(t), b.learn)))
         return F.concat(F.array(piece(F.length(b.head), no)), F.flatten(texts), F.array(piece(F.lit(len(END) + 1), no)))
 
-    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans"))
-
-    def advance(state: Column, p: Column) -> Column:
-        span = F.struct(state.at.alias("start"), (state.at + p["size"]).alias("stop"))
-        return F.struct((state.at + p["size"]).alias("at"), F.when(p.learn, F.concat(state.spans, F.array(span))).otherwise(state.spans).alias("spans"))
-
-    spans = F.aggregate(F.flatten(F.transform("blocks", piecewise)), zero, advance, lambda s: s.spans)
+    make = lambda start, stop, *_: F.struct(start.cast("bigint").alias("start"), stop.cast("bigint").alias("stop"))
+    pieces = F.flatten(F.transform("blocks", piecewise))
+    spans = running_spans(pieces, lambda _, at: at, lambda p, start: start + p["size"], lambda p, _: p.learn, make, "struct<start:bigint,stop:bigint>")
     return blocks.select(conv_col, formatted.alias("formatted"), spans.alias("loss_spans"))
 
 

@@ -57,9 +57,7 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         try:
             return self.fast.encode_to_numpy(text, disallowed_special=())
-        except BaseException as e:
-            if type(e).__name__ != "PanicException":
-                raise
+        except ValueError:  # the split rule's limit on backtracking
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 

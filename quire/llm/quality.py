@@ -290,6 +290,7 @@ def judge(
     slack: float = 0.2,
 ) -> DataFrame:
     """Statistics, ``base_failed``, ``log_ppl`` and ``kept`` of every row of docs."""
+    docs = docs.select(id_col, text_col, lang_col)
     counts = written(count_grams(docs, text_col, lang_col), "grams")
     # a language whose texts have no character at all has no 4-gram: it is judged with an empty model
     known = counts.select(F.col("lang").alias("known")).distinct()
@@ -305,7 +306,7 @@ def judge(
     z = (F.col("log_ppl") - F.col("middle")) * F.sqrt("chars")
     spread = sound.join(middle, F.col("lang").eqNullSafe(F.col("of"))).groupBy("of", "middle").agg(F.percentile_approx(z, [0.25, 0.75], 10000).alias("q"))
     bands = spread.select(F.col("of").alias("band"), "middle", (width * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD))).alias("reach"))
-    reach = F.col("reach") / F.sqrt("chars")
+    reach = F.col("reach") / F.sqrt(F.greatest("chars", F.lit(1)))
     inside = F.col("log_ppl").between(F.col("middle") - reach, F.col("middle") + reach + slack)
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
     return scored.join(bands, F.col("lang").eqNullSafe(F.col("band")), "left").withColumn("kept", kept).drop("band", "middle", "reach")

@@ -17,10 +17,13 @@ A null text is an empty one. Rows are judged one by one; an empty table gives an
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.arrays import free_name, running_spans
+
 # The base patterns, by kind in order; the group of the value and its least length.
 KINDS = ["assign", "access", "hex", "entropy"]
 PATTERNS = {
@@ -33,10 +36,11 @@ PRESENT = {"assign": PATTERNS["assign"][0], "access": r"AKIA[A-Z0-9]{14}", "hex"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 THRESHOLDS = {"hex": 2.9, "other": 3.6}
+# A candidate is on the allow-list if it matches the first pattern and not the second.
 ALLOWED = [
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[A-Za-z]+([-_/=+][A-Za-z]+|[-_/=+][0-9]+)+$",
-    r"(?i)example",
+    (r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", None),  # UUIDs
+    (r"^[A-Za-z]", r"[-_/=+]{2}|[-_/=+]$|[A-Za-z][0-9]|[0-9][A-Za-z]"),  # words and numbers joined by single marks
+    (r"(?i)example", None),
 ]
 SPAN = "array<struct<start:int,stop:int,kind:int>>"
 _UNIT = 1_000_000
@@ -48,19 +52,13 @@ def limit(threshold: float) -> int:
     return math.floor(_UNIT * WINDOW * (math.log2(WINDOW) - threshold))
 
 
-def _located(text: Column, pattern: str, value_group: int, keep: callable) -> Column:
-    """Spans of kind 0 of the pattern's matches whose value passes keep."""
+def _located(text: Column, pattern: str, value_group: int, keep: Callable[[Column], Column]) -> Column:
+    """(start, stop, value) of the pattern's matches whose value passes keep."""
     full = rf"(?s)\G(.*?)({pattern})"  # anchored where the last match ended: one pass over the text
     found = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(full), F.lit(i)).alias(n) for i, n in ((1, "before"), (2, "match"), (value_group, "value"))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,value:string>>").alias("spans"))
-
-    def advance(state: Column, m: Column) -> Column:
-        start = state.at + F.length(m["before"])
-        stop = start + F.length(m["match"])
-        span = F.struct(start.alias("start"), stop.alias("stop"), m["value"].alias("value"))
-        return F.struct(stop.alias("at"), F.when(keep(m["value"]), F.concat(state.spans, F.array(span))).otherwise(state.spans).alias("spans"))
-
-    return F.aggregate(found, zero, advance, lambda s: s.spans)
+    make = lambda start, stop, m, _: F.struct(start.alias("start"), stop.alias("stop"), m["value"].alias("value"))
+    start, stop = lambda m, at: at + F.length(m["before"]), lambda m, start: start + F.length(m["match"])
+    return running_spans(found, start, stop, lambda m, _: keep(m["value"]), make, "struct<start:int,stop:int,value:string>")
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -75,7 +73,9 @@ def high_windows(value: Column) -> Column:
     codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
     table = F.array(*map(F.lit, _TABLE))
     most = F.when(value.rlike("^[0-9a-fA-F]+$"), limit(THRESHOLDS["hex"])).otherwise(limit(THRESHOLDS["other"]))
-    steps = F.transform(codes, lambda c, i: F.struct(c.alias("new"), F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(-1).alias("old"), i.alias("i")))
+    step = lambda all_: lambda c, i: F.struct(c.alias("new"), F.when(i >= WINDOW, F.get(all_, i - WINDOW)).otherwise(-1).alias("old"), i.alias("i"))
+    # named once by a lambda, else the codes would be made again for each of their elements
+    steps = F.get(F.transform(F.array(codes), lambda all_: F.transform(all_, step(all_))), F.lit(0))
     zero = F.struct(
         F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0).cast("bigint").alias("total"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")
     )
@@ -98,8 +98,8 @@ def high_windows(value: Column) -> Column:
 def suspicious(value: Column) -> Column:
     """Whether a candidate has a digit and a letter and is not on the allow-list."""
     ok = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-    for pattern in ALLOWED:
-        ok = ok & ~value.rlike(pattern)
+    for pattern, unless in ALLOWED:
+        ok = ok & ~(value.rlike(pattern) & ~value.rlike(unless) if unless else value.rlike(pattern))
     return ok
 
 
@@ -111,13 +111,15 @@ def entropy_spans(text: Column) -> Column:
     return F.when(text.rlike(CANDIDATE), spans).otherwise(F.array()).cast(SPAN)
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with ``base`` and ``spans``, arrays of (start, stop, kind) sorted by start, then kind (see ``KINDS``)."""
+def find_secrets(docs: DataFrame, text_col: str = "text", base_name: str = "base", spans_name: str = "spans") -> DataFrame:
+    """docs with two new columns, arrays of (start, kind, stop) sorted by start, then kind (see ``KINDS``)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.withColumns({f"_{k}": base_spans(text, k) for k in KINDS[:3]} | {"_entropy": entropy_spans(text)})
+    names = {k: free_name(docs.columns, f"_{k}") for k in KINDS}
+    found = docs.withColumns({names[k]: base_spans(text, k) for k in KINDS[:3]} | {names["entropy"]: entropy_spans(text)})
     key = lambda a: F.array_sort(F.transform(a, lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.stop.alias("stop"))))
-    found = found.withColumn("base", key(F.concat("_assign", "_access", "_hex")))
-    return found.withColumn("spans", key(F.concat("_assign", "_access", "_hex", "_entropy"))).drop("_assign", "_access", "_hex", "_entropy")
+    base = [names[k] for k in KINDS[:3]]
+    found = found.withColumns({base_name: key(F.concat(*base)), spans_name: key(F.concat(*base, names["entropy"]))})
+    return found.drop(*names.values())
 
 
 def spelled(spans: Column) -> Column:
@@ -128,14 +130,13 @@ def spelled(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", marker: str = "[SECRET]") -> DataFrame:
     """docs with every span of text_col replaced by the marker, overlapping spans by one; null stays null."""
-    found = find_secrets(docs, text_col)
+    base, spans, cut = (free_name(docs.columns, f"_{x}") for x in ("base", "spans", "cut"))
     text = F.col(text_col)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def advance(s: Column, x: Column) -> Column:
-        apart = x.start >= s.at
-        out = F.concat(s.out, F.substring(text, s.at + 1, x.start - s.at), F.lit(marker))
-        return F.struct(F.greatest(s.at, x.stop).alias("at"), F.when(apart, out).otherwise(s.out).alias("out"))
-
-    clean = F.aggregate("spans", zero, advance, lambda s: F.concat(s.out, F.substring(text, s.at + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text)).drop("base", "spans")
+    # by start, a span begins a new cut unless an earlier one reaches past its start; cuts know where the last ended
+    make = lambda start, stop, x, at: F.struct(at.alias("reach"), start.alias("start"))
+    opened = running_spans(F.col(spans), lambda x, at: F.greatest(x.start, at), lambda x, start: F.greatest(x.stop, start), lambda x, at: x.start >= at, make, "struct<reach:int,start:int>")
+    found = find_secrets(docs, text_col, base, spans).withColumn(cut, F.when(F.size(spans) > 0, opened))
+    before = F.transform(cut, lambda x: F.concat(F.substring(text, x.reach + 1, x.start - x.reach), F.lit(marker)))
+    last = F.array_max(F.transform(spans, lambda s: s.stop))
+    clean = F.concat(F.array_join(before, ""), F.substring(text, last + 1, F.length(text)))
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).drop(base, spans, cut)

@@ -6,9 +6,9 @@ confirmed toxic texts P and texts U of unknown label with the non-negative risk
 
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]),    l(z) = log(1 + exp(-z)),
 
-in full batches with Adam and a soft threshold that keeps only features which matter. When the second term
-falls below zero the step climbs it instead, as the paper has it, so rare words of a few texts are not learned by
-heart. The class prior is the share of label 1 among the labelled training rows.
+by accelerated proximal gradient steps with a soft threshold that keeps only features which matter. When the
+second term falls below zero the step climbs it instead, as the paper has it, so rare words of a few texts are not
+learned by heart. The class prior is the share of label 1 among the labelled training rows.
 
 Training reads at most ``most_positive`` and about ``most_unlabelled`` texts, drawn by a hash of the id (those two
 bounds are documented parameters); scoring reads every whole text. A null or empty text is scored by the
@@ -63,11 +63,21 @@ def matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(places)
 
 
-def _descend(row: np.ndarray, column: np.ndarray, w: np.ndarray, b: float, n: int, p: int, prior: float, steps: int, rate: float, shrink: float) -> tuple[np.ndarray, float]:
-    """Adam on the non-negative risk of n texts, of which the first p are positive."""
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for step in range(1, steps + 1):
-        g = b + np.bincount(row, w[column], n)
+def _descend(row: np.ndarray, column: np.ndarray, size: int, n: int, p: int, prior: float, steps: int, penalty: float) -> tuple[np.ndarray, float]:
+    """Accelerated proximal gradient (FISTA) on the non-negative risk of n texts, of which the first p are positive."""
+    share = np.zeros(n)
+    share[p:] = 1 / (n - p)
+    probe = np.ones(size + 1)
+    for _ in range(15):  # the largest curvature, by power iteration
+        g = (probe[-1] + np.bincount(row, probe[column], n)) * share
+        probe = np.append(np.bincount(column, g[row], size), g.sum())
+        curvature = np.linalg.norm(probe)
+        probe /= max(curvature, 1e-12)
+    rate = 4 / max(curvature, 1e-12)
+    w, b = np.zeros(size), float(np.log(prior / max(1 - prior, 1e-6)))
+    at_w, at_b, pace = w, b, 1.0
+    for _ in range(steps):
+        g = at_b + np.bincount(row, at_w[column], n)
         rising = 1 / (1 + np.exp(-np.clip(g, -30, 30)))  # derivative of l(-g)
         loss = np.logaddexp(0, g)
         slope = np.zeros(n)
@@ -77,35 +87,36 @@ def _descend(row: np.ndarray, column: np.ndarray, w: np.ndarray, b: float, n: in
         else:
             slope[p:] = -rising[p:] / (n - p)
             slope[:p] = prior * rising[:p] / p
-        grad = np.append(np.bincount(column, slope[row], len(w)), slope.sum())
-        m = 0.9 * m + 0.1 * grad
-        v = 0.999 * v + 0.001 * grad * grad
-        scale = rate / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
-        move = scale * m / (1 - 0.9**step)
-        w = w - move[:-1]
-        b -= move[-1]
-        w = np.sign(w) * np.maximum(np.abs(w) - shrink * scale[:-1], 0)
+        new_w = at_w - rate * np.bincount(column, slope[row], size)
+        new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - rate * penalty, 0)
+        new_b = at_b - rate * slope.sum()
+        next_pace = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        push = (pace - 1) / next_pace
+        at_w, at_b = new_w + push * (new_w - w), new_b + push * (new_b - b)
+        w, b, pace = new_w, new_b, next_pace
     return w, b
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = 200, rate: float = 0.1, shrink: float = 5e-4, least_texts: int = 3) -> Model:
+def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = 600, penalty: float = 2e-4, least_texts: int = 3) -> Model:
     """Minimise the non-negative risk; features of fewer than ``least_texts`` texts are left out."""
     weights = np.zeros(1 << HASH_BITS, np.float32)
     if not positive or not unlabelled or prior <= 0:
         return Model(weights, -np.inf)
     row, place = matrix(positive + unlabelled)
-    n, p, start = len(positive) + len(unlabelled), len(positive), float(np.log(prior / max(1 - prior, 1e-6)))
+    n, p = len(positive) + len(unlabelled), len(positive)
     known, column, count = np.unique(place, return_inverse=True, return_counts=True)
     often = count >= least_texts
     keep = often[column]
     row, column, known = row[keep], (np.cumsum(often) - 1)[column[keep]], known[often]
-    w, b = _descend(row, column, np.zeros(len(known)), start, n, p, prior, steps, rate, shrink)
+    w, b = _descend(row, column, len(known), n, p, prior, steps, penalty)
     weights[known] = w
     return Model(weights, b)
 
 
 def score(texts: pa.Array | pa.ChunkedArray, model: Model) -> np.ndarray:
     """Probability of label 1 for each text."""
+    if model.intercept == -np.inf:
+        return np.zeros(len(texts))
     out = [np.zeros(0)]
     for part in slices(texts):
         doc, place = features(part.data, part.bounds)
@@ -118,6 +129,7 @@ def score(texts: pa.Array | pa.ChunkedArray, model: Model) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most_positive: int, most_unlabelled: int) -> Model:
     """Model from the rows of docs (all of them training rows) and labels by id."""
+    docs = docs.select(id_col, text_col)
     part = (F.xxhash64(F.col(id_col).cast("string"), F.lit("pu")) / F.lit(float(1 << 64))) + 0.5
     own = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("toxic")).where("toxic is not null")
     labelled, toxic = own.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1)), F.lit(0))).first()
