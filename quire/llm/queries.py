@@ -113,5 +113,37 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, KINDS[:3]), F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
 
 
+_WARC_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) b from pages),
+d as (select page_id, octet_length(b)::bigint n, sha1(b) h from p),
+f as (select *, min(page_id) over (partition by h, n) first from d)
+select page_id, n payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (('0x' || substr(h, (i // 4 * 5 + 1)::int, 5))::bigint >> (15 - i % 4 * 5)::int & 31)::int + 1, 1)), '') payload_digest,
+  case when page_id = first then 'response' else 'revisit' end record_type, case when page_id <> first then first end refers_to from f
+"""
+
+_CHAT_SQL = r"""
+with c as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') as text from conversations
+    union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, regexp_replace(text, '([<\[])(\\*)(\|im_start\|>|\|im_sep\|>|\|im_turn\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\])', '\1\\\2\3', 'g') x,
+    lag(role) over (partition by conv_id order by turn, role, text) is distinct from role as opens from c)
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) loss_sha256,
+  (sum(length(x)) + sum(case when opens then 12 + length(role) + 10 + 10 + 1 else 11 end))::bigint formatted_chars
+from e group by conv_id
+"""
+
+_SUBSTRING_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+s as (select doc_id, unnest(range(1, len(w) + 1)) i, w from d),
+g as (select doc_id, i, w[i] as word, case when i + 34 <= len(w) then array_to_string(w[i:i + 34], ' ') end g from s),
+c as (select *, g is not null and count(*) over (partition by g) > 1 twice from g),
+k as (select doc_id, i, word, max(twice::int) over (partition by doc_id order by i rows between 34 preceding and current row) gone from c)
+select d.doc_id, len(w)::bigint n_words, coalesce(sum(gone), 0)::bigint n_removed,
+  sha256(coalesce(string_agg(word, ' ' order by i) filter (gone = 0), '')) kept_sha256
+from d left join k on k.doc_id = d.doc_id group by d.doc_id, w
+"""
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_warc, op4_chat, op5_toxicity, op6_secrets, op7_substrings, op8_simhash, op9_quality, op10_packing)}
-SQL: dict[str, str] = {}
+SQL = {"op3_warc": _WARC_SQL, "op4_chat": _CHAT_SQL, "op7_substrings": _SUBSTRING_SQL}
