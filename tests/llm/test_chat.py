@@ -39,12 +39,8 @@ SQL_FIXTURE = "/root/testdata/sf0.01"
 
 
 def test_query_like_sql(spark):
-    import sys
-
-    sys.path.insert(0, "tests")
-    from compare import difference
-
     from quire.llm.queries import QUERIES, SQL
+    from tests.compare import difference
 
     for name in sorted(SQL):
         assert difference(spark, QUERIES[name], SQL[name], SQL_FIXTURE) == "", name
