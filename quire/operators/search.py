@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.expressions import literal_hits
 from quire.functions.pytext import hit_pattern, literal_pattern, word_spans
 
 
+SHORT_BLOCK = 500  # needles tested in one scan
+
+
 def hits(pages: DataFrame, query: str, text_col: str = "text") -> DataFrame:
     """The rows that an ASCII phrase occurs in, with the number of ``hits``; none for a blank phrase."""
     if not query.split():
@@ -35,32 +38,38 @@ def limited(pages: DataFrame, query: str, limit: int, partition: str, order: str
     )
 
 
-def many(pages: DataFrame, needles: DataFrame, id_col: str, needle_id: str, needle_text: str = "text", text_col: str = "text", anchor_words: int = 4) -> DataFrame:
+def many(pages: DataFrame, needles: DataFrame, id_col: str, needle_id: str, needle_text: str = "text", text_col: str = "text", anchor_words: int = 3) -> DataFrame:
     """(id, needle id) of every needle that a page holds, white space squeezed on both sides.
 
-    A needle's first words and every run of as many words of a page are hashed and joined, so the pairs looked at
-    are those that share an anchor; containment is then tested. Needles of fewer words than the anchor match by
-    their whole text in a join of their own.
+    A needle may begin and end inside a page's words, but the words between are whole. Up to ``anchor_words`` of
+    those are hashed and joined to every run of as many words of a page, so the pairs looked at share an anchor, and
+    containment is then tested. Needles of one or two words have none: they are tested in blocks of a scan.
     """
     squeeze = lambda c: F.trim(F.regexp_replace(c, r"[ \t\n\r\f\x0b]+", " "))
     needle = needles.select(F.col(needle_id).alias("needle"), squeeze(F.col(needle_text)).alias("needle_text")).where("needle_text <> ''")
-    needle = needle.withColumn("parts", F.split("needle_text", " "))
-    page = pages.select(F.col(id_col).alias("page_id"), squeeze(F.col(text_col)).alias("page_text")).withColumn("parts", F.split("page_text", " "))
-    out = None
-    for k in range(1, anchor_words + 1):
-        own = needle.where((F.size("parts") >= k) if k == anchor_words else (F.size("parts") == k))
-        if k < anchor_words and not own.head(1):
-            continue
-        # a needle may begin inside a page's word and end inside another: its second word on is whole, if it has one
-        skip = 1 if k > 1 else 0
-        anchor = own.select("needle", "needle_text", F.xxhash64(F.array_join(F.slice("parts", 1 + skip, max(k - 1 - skip, 1)), " ")).alias("anchor"))
-        size = max(k - 1 - skip, 1)
-        runs = F.transform(F.sequence(F.lit(1), F.size("parts") - size + 1), lambda i: F.xxhash64(F.array_join(F.slice("parts", i, size), " ")))  # noqa: B023
-        spots = page.where(F.size("parts") >= size).select("page_id", F.explode(F.array_distinct(runs)).alias("anchor"))
-        pairs = spots.join(anchor, "anchor").select("page_id", "needle").distinct()
-        found = pairs.join(own.select("needle", "needle_text"), "needle").join(page.select("page_id", "page_text"), "page_id")
-        found = found.where(F.contains("page_text", "needle_text")).select("page_id", "needle")
-        out = found if out is None else out.unionByName(found)
+    needle = needle.distinct().withColumn("parts", F.split("needle_text", " "))
+    page = pages.select(F.col(id_col).alias("page_id"), squeeze(F.col(text_col)).alias("page_text"))
+    inner = F.size("parts") - 2
+    long = needle.where(inner >= 1).withColumn("size", F.least(inner, F.lit(anchor_words)))
+    anchor = long.select("needle", F.xxhash64("size", F.array_join(F.slice(F.col("parts"), F.lit(2), F.col("size")), " ")).alias("anchor"))
+    parts = F.split("page_text", " ")
+    sizes = sorted(r[0] for r in long.select("size").distinct().collect())  # anchor_words numbers at most
+
+    def runs(all_: Column, size: int) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(all_) - size + 1, F.lit(1))), lambda i: i + size - 1 <= F.size(all_))
+        return F.transform(at, lambda i: F.xxhash64(F.lit(size), F.array_join(F.slice(all_, i, size), " ")))
+
+    bound = F.transform(F.array(parts), lambda all_: F.array_distinct(F.concat(*[runs(all_, k) for k in sizes or [1]])))
+    spots = page.select("page_id", F.explode(F.get(bound, F.lit(0))).alias("anchor"))
+    pairs = spots.join(anchor, "anchor").select("page_id", "needle").distinct()
+    found = pairs.join(long.select("needle", "needle_text"), "needle").join(page, "page_id").where(F.contains("page_text", "needle_text"))
+    out = found.select("page_id", "needle")
+    short = [(r[0], r[1]) for r in needle.where(inner < 1).select("needle", "needle_text").toLocalIterator()]
+    kind = needle.schema["needle"].dataType
+    for at in range(0, len(short), SHORT_BLOCK):
+        block = F.array(*[F.struct(F.lit(k).cast(kind).alias("needle"), F.lit(t).alias("t")) for k, t in short[at : at + SHORT_BLOCK]])
+        hit = page.select("page_id", F.explode(F.filter(block, lambda n: F.contains(F.col("page_text"), n.t))).alias("n"))
+        out = out.unionByName(hit.select("page_id", F.col("n.needle").alias("needle")))
     return out.select(F.col("page_id").alias(id_col), F.col("needle").alias(needle_id))
 
 
