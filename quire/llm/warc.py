@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.scratch import new_path
+from quire.llm.scratch import new_path, written
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -189,11 +189,15 @@ def read_warc(spark: SparkSession, path: str, types: tuple[str, ...] | None = No
 
 
 def captures(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """One nested row for each capture: its response or revisit with the request and metadata concurrent to it."""
-    main = read_warc(spark, path, ("response", "revisit"), payloads)
+    """One nested row for each capture: its response or revisit with the request and metadata concurrent to it.
+
+    Archives are parsed once: the records go to a table in the shared folder, whose three kinds are then joined.
+    """
+    records = written(read_warc(spark, path, ("response", "revisit", "request", "metadata"), payloads), "records")
+    main = records.where(F.col("type").isin("response", "revisit"))
     nested = main.select("record_id", "target_uri", "date", F.struct("type", "http_headers", "payload_digest", "payload_bytes", "payload", "refers_to_uri").alias("response"))
-    request = read_warc(spark, path, ("request",)).select(F.col("concurrent_to").alias("of"), F.struct("record_id", "http_headers").alias("request"))
-    metadata = read_warc(spark, path, ("metadata",)).select(F.col("concurrent_to").alias("of"), F.struct("record_id", "fields").alias("metadata"))
+    request = records.where("type = 'request'").select(F.col("concurrent_to").alias("of"), F.struct("record_id", "http_headers").alias("request"))
+    metadata = records.where("type = 'metadata'").select(F.col("concurrent_to").alias("of"), F.struct("record_id", "fields").alias("metadata"))
     joined = nested.join(request, nested["record_id"] == request["of"], "left").drop("of")
     return joined.join(metadata, joined["record_id"] == metadata["of"], "left").drop("of")
 
