@@ -22,7 +22,7 @@ def word_count(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Python's strip: wider than SQL trim."""
-    return F.regexp_replace(text, rf"^[{PY_SPACE}]+|[{PY_SPACE}]+$", "")
+    return F.btrim(text, F.lit("".join(c for c in map(chr, range(0x3001)) if c.isspace())))
 
 
 def is_blank(text: Column) -> Column:
