@@ -143,3 +143,36 @@ def test_streams(spark, tmp_path):
         ledger.upsert_by_digest(ledger.landed_files(spark, f"{tmp_path}/land"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(120)
         (tmp_path / "land" / "c.pdf").write_bytes(made()[:-1])
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_conversions():
+    from quire.sources import convert
+
+    rows = lambda form, data: pdf_tables.rows_of(form, "x", data)
+    page = rows("pages", convert.from_html("<title>T</title><h1>Head</h1><p>a &lt; b</p>"))
+    assert page[0][5] == "Head\na < b"
+    assert "One" in rows("pages", convert.from_markdown("# One\n\n" + "word " * 1500))[0][5]
+    assert len(rows("pages", convert.from_markdown("word " * 3000))) > 1
+    grey = b"P5 2 3 255\n" + bytes(6)
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08\x00\x10\x00\x20\x03\x01\x11\x00" + bytes(12)
+    assert [(r[2], r[3], r[6]) for r in rows("pages", convert.from_images([grey, jpeg]))] == [(2.0, 3.0, 1), (32.0, 16.0, 1)]
+    broken = made().replace(b"startxref", b"startxxxx")
+    fixed = convert.repaired(broken)
+    assert rows("documents", fixed)[0][2:6] == (3, False, False, "Tést")
+    small, ratio = convert.compressed(made())
+    assert len(small) <= len(made()) and ratio <= 1
+
+
+def test_attachments_information_and_sanitising():
+    from quire.sources import convert
+
+    data = convert.with_attachment(convert.with_attachment(made(), "b.txt", b"12345"), "a.txt", b"1")
+    listed = pdf_tables.rows_of("attachments", "x", data)
+    assert [(r[2], r[3]) for r in listed] == [("a.txt", 1), ("b.txt", 5)]
+    with pytest.raises(ValueError, match="a.txt"):
+        convert.with_attachment(data, "a.txt", b"")
+    clean, removed = convert.sanitized(data)
+    assert removed >= 1 and pdf_tables.rows_of("attachments", "x", clean) == [] and len(pdf_tables.rows_of("pages", "x", clean)) == 3
+    assert len(pdf_tables.rows_of("outline", "x", clean)) == 3
+    new = convert.with_information(made(), {"Author": "Ann", "title": "none"})
+    assert pdf_tables.rows_of("documents", "x", new)[0][6] == {"author": "Ann"}
