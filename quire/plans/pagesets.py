@@ -126,10 +126,10 @@ def pages_booklet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.booklet(source(spark, sf_dir)).select("doc_id", "position", "page", F.col("label").isNull().alias("blank"))
 
 
-@query("""with m as (select max(item_id) m from benchmark where item_id < 3)
-  select conv_id doc_id, turn page, least(turn, m) stamp_page, b.text stamp from conversations, m join benchmark b on b.item_id = least(turn, m)""")
+@query("""with m as (select max(r_regionkey) m from region)
+  select conv_id doc_id, turn page, least(turn, m)::bigint stamp_page, r_name stamp from conversations, m join region on r_regionkey = least(turn, m)""")
 def pages_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stamp = table(spark, sf_dir, "benchmark").where("item_id < 3").select(F.col("item_id").alias("stamp_page"), F.col("text").alias("stamp"))
+    stamp = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("bigint").alias("stamp_page"), F.col("r_name").alias("stamp"))
     return pages.overlay(source(spark, sf_dir), stamp).select("doc_id", "page", "stamp_page", "stamp")
 
 
@@ -194,14 +194,15 @@ def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("doc_id", "page", F.coalesce(text_, F.lit("")).alias("page_label"))
 
 
-@query("""with o as (select o_orderkey k, o_orderstatus s, case when o_orderkey % 7 = 0 then 'X' else o_orderpriority end p from orders where o_orderkey % 11 <> 0),
-  n as (select o_orderkey k, case when o_orderkey % 5 = 0 then null else o_orderstatus end s, o_orderpriority p from orders where o_orderkey % 13 <> 0),
+@query("""with o as (select o_orderkey k, o_orderstatus s, case when o_totalprice > 200000 then 'X' else o_orderpriority end p from orders where o_orderstatus <> 'P'),
+  n as (select o_orderkey k, case when o_totalprice < 50000 then null else o_orderstatus end s, o_orderpriority p from orders where o_orderpriority <> '1-URGENT'),
   j as (select coalesce(o.k, n.k) k, o.s a, n.s b, o.p c, n.p d from o full join n on o.k = n.k)
   select k, 'status' field, a as "left", b as "right" from j where a is distinct from b union all select k, 'priority', c, d from j where c is distinct from d""")
 def compare_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    left = o.where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderpriority")).alias("priority"))
-    right = o.where("o_orderkey % 13 <> 0").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus")).alias("status"), F.col("o_orderpriority").alias("priority"))
+    key, status, priority = F.col("o_orderkey").alias("k"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    left = o.where(status != "P").select(key, status.alias("status"), F.when(F.col("o_totalprice") > 200000, "X").otherwise(priority).alias("priority"))
+    right = o.where(priority != "1-URGENT").select(key, F.when(F.col("o_totalprice") >= 50000, status).alias("status"), priority.alias("priority"))
     return compare.structure(left, right, "k", ["status", "priority"])
 
 
