@@ -40,10 +40,8 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.path, self.slow = path, None
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -58,6 +56,11 @@ class Encoder:
         try:
             return self.fast.encode_to_numpy(text, disallowed_special=())
         except ValueError:  # the split rule's limit on backtracking
+            if self.slow is None:  # seldom needed, so seldom in a worker's memory
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.path)
+                self.slow.encode_special_tokens = True
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 

@@ -33,6 +33,7 @@ from quire.llm.text_arrays import gram_mask, slices, split_words
 
 BITS = 64
 SMALL_ENTRY = 64  # members up to which an entry's pairs are formed at once
+PAIR_BLOCK = 200_000  # pairs compared at once: bounds a worker's memory
 
 
 def fingerprints(texts: pa.Array | pa.ChunkedArray, k: int) -> np.ndarray:
@@ -155,7 +156,7 @@ def entry_links(keys: np.ndarray, prints: np.ndarray, m: int, distance: int) ->
     for n in np.unique(size[(size > 1) & (size <= SMALL_ENTRY)]).tolist():
         first = edge[:-1][size == n]
         i, j = np.triu_indices(n, 1)
-        block = max(1, 2_000_000 // len(i))
+        block = max(1, PAIR_BLOCK // len(i))
         for at in range(0, len(first), block):
             a = (first[at : at + block, None] + i).ravel()
             b = (first[at : at + block, None] + j).ravel()
