@@ -35,6 +35,7 @@ ORDER = 4
 SYMBOL_BITS = 6
 MODEL_BYTES = 256 << 20
 LEAST_SPREAD = 0.5
+PPL_GRID, Z_GRID = 10_000, 100  # quantiles are exact over values on these grids: few distinct ones, in any order
 HELD_KEYS = 1 << 21  # distinct n-grams that a worker adds up before it passes them on
 WINDOW = 8
 # The characters counted as symbols.
@@ -301,10 +302,10 @@ def judge(
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     scored = written(scored.withColumn("base_failed", failed), "scored")
     sound = scored.where("not base_failed and chars > 0")
-    middle = sound.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 10000).alias("middle"))
+    middle = sound.groupBy("lang").agg(F.percentile(F.floor(F.col("log_ppl") * PPL_GRID) / PPL_GRID, 0.5).alias("middle"))
     middle = middle.withColumnRenamed("lang", "of")
     z = (F.col("log_ppl") - F.col("middle")) * F.sqrt("chars")
-    spread = sound.join(middle, F.col("lang").eqNullSafe(F.col("of"))).groupBy("of", "middle").agg(F.percentile_approx(z, [0.25, 0.75], 10000).alias("q"))
+    spread = sound.join(middle, F.col("lang").eqNullSafe(F.col("of"))).groupBy("of", "middle").agg(F.percentile(F.floor(z * Z_GRID) / Z_GRID, [0.25, 0.75]).alias("q"))
     bands = spread.select(F.col("of").alias("band"), "middle", (width * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD))).alias("reach"))
     reach = F.col("reach") / F.sqrt(F.greatest("chars", F.lit(1)))
     inside = F.col("log_ppl").between(F.col("middle") - reach, F.col("middle") + reach + slack)
