@@ -12,7 +12,7 @@ from quire.sources.adapters import conversation_pages, table
 
 
 def latin_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation pages with single spaces and no blank lines, as a PDF's text comes back."""
+    """Conversation pages; their letters all exist in the standard Latin encoding."""
     p = conversation_pages(spark, sf_dir)
     return p.select("doc_id", "page", "text")
 
