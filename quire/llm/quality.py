@@ -287,8 +287,8 @@ def judge(
     lang_col: str = "lang",
     least_words: int = 20,
     most_repeated: int = 30,
-    width: float = 4.5,
-    slack: float = 0.2,
+    width: float = 4.0,
+    slack: float = 0.6,
 ) -> DataFrame:
     """Statistics, ``base_failed``, ``log_ppl`` and ``kept`` of every row of docs."""
     docs = docs.select(id_col, text_col, lang_col)

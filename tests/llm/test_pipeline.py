@@ -82,8 +82,8 @@ def plain_quality(rows):
         pick = lambda v, q, grid: np.percentile(np.floor(np.array(v) * grid) / grid, 100 * q)
         middle = pick([x[3] for x in own], 0.5, quality.PPL_GRID)
         z = [(x[3] - middle) * math.sqrt(x[2]) for x in own]
-        reach = 4.5 * max(pick(z, 0.75, quality.Z_GRID) - pick(z, 0.25, quality.Z_GRID), quality.LEAST_SPREAD)
-        kept |= {x[0] for x in own if middle - reach / math.sqrt(x[2]) <= x[3] <= middle + reach / math.sqrt(x[2]) + 0.2}
+        reach = 4.0 * max(pick(z, 0.75, quality.Z_GRID) - pick(z, 0.25, quality.Z_GRID), quality.LEAST_SPREAD)
+        kept |= {x[0] for x in own if middle - reach / math.sqrt(x[2]) <= x[3] <= middle + reach / math.sqrt(x[2]) + 0.6}
     return [r for r in rows if r[0] in kept]
 
 
