@@ -172,12 +172,9 @@ def entry_links(keys: np.ndarray, prints: np.ndarray, m: int, distance: int) ->
     return np.concatenate(left or none), np.concatenate(right or none)
 
 
-def links(prints: DataFrame, n: int, distance: int = 4, reach: int | None = None) -> DataFrame:
-    """(a, b) links that connect distinct fingerprints ``fp`` just as all pairs at most ``distance`` bits apart do.
-
-    With a larger ``reach``, pairs that meet in the index anyway are linked up to that many bits apart.
-    """
-    reach = distance if reach is None else reach
+def links(prints: DataFrame, n: int, distance: int = 4) -> DataFrame:
+    """(a, b) links that connect distinct fingerprints ``fp`` just as all pairs at most ``distance`` bits apart do,
+    whatever n, the number of fingerprints, makes of the index."""
     m = segment_count(n, distance)
     parts = segments(m)
     masks = []
@@ -194,7 +191,7 @@ def links(prints: DataFrame, n: int, distance: int = 4, reach: int | None = None
             fp, seed, key = (np.concatenate(x) for x in zip(*parts, strict=True))
             change = (seed[1:] != seed[:-1]) | (key[1:] != key[:-1])
             entry = np.concatenate(([0], np.cumsum(change)))
-            a, b = entry_links(entry, fp.view(np.uint64), m, reach)
+            a, b = entry_links(entry, fp.view(np.uint64), m, distance)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:  # an entry that may go on in the next batch waits for it
@@ -213,7 +210,7 @@ def links(prints: DataFrame, n: int, distance: int = 4, reach: int | None = None
     return entries.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, distance: int = 4, reach: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, distance: int = 4) -> DataFrame:
     """(id_col, fp, component_id) for every row: component_id is the smallest id reachable over links.
 
     Rows with a null id keep their fingerprint and link like others but never name a component; a component of
@@ -221,18 +218,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = written(with_fingerprint(docs, id_col, text_col, k), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    roots = connected_components(links(nodes.select("fp"), nodes.count(), distance, reach)).withColumnRenamed("node", "fp")
+    roots = connected_components(links(nodes.select("fp"), nodes.count(), distance)).withColumnRenamed("node", "fp")
     placed = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = written(placed, "placed")
     named = written(placed.groupBy("root").agg(F.min("least").alias("component_id")), "named")
     return rows.join(placed.join(named, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, distance: int = 6, reach: int | None = 8) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, distance: int = 6) -> DataFrame:
     """The rows of docs without the near copies: of each component the row with its smallest id stays.
 
     Rows with a null id always stay. Of rows that repeat an id, every one goes or stays with that id.
     """
-    found = near_duplicates(docs, id_col, text_col, k, distance, reach)
+    found = near_duplicates(docs, id_col, text_col, k, distance)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     return docs.join(gone, id_col, "left_anti")

@@ -86,6 +86,19 @@ def test_chains_never_prune_a_link():
             assert simhash.chain_viable(diffs, m, distance).all()
 
 
+def test_links_do_not_depend_on_the_size_of_the_index(spark, monkeypatch):
+    rng = random.Random(8)
+    prints = [0] + [sum(1 << b for b in rng.sample(range(64), n)) for n in (5, 6, 7, 7, 7, 7, 8, 8, 8, 8) for _ in range(4)]
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame(list(enumerate(signed)), "doc_id bigint, fp bigint")
+    monkeypatch.setattr(simhash, "with_fingerprint", lambda docs, *_: docs)
+    kept = []
+    for m in (9, 10, 11):
+        monkeypatch.setattr(simhash, "segment_count", lambda n, distance, m=m: m)
+        kept.append({r.doc_id for r in simhash.keep_one(df, text_col="fp").collect()})
+    assert kept[0] == kept[1] == kept[2] == set(brute_components(prints, 6))
+
+
 def test_odd_documents(spark, odd_docs, no_docs):
     found = simhash.near_duplicates(odd_docs).collect()
     texts = {(r.doc_id, r.text) for r in odd_docs.collect()}
