@@ -2,8 +2,9 @@
 
 Model. Texts become symbols of a fixed alphabet of 64: the 26 letters (a capital counts as one class of its own),
 space, line break, digit, some marks, and 23 classes by code point for all else. An interpolated modified
-Kneser-Ney model of order 4 per language is counted by Spark over every row: workers count 4-grams, the shuffle
-adds them up. Lower orders use the numbers of distinct left neighbours, as the method has it. As a 4-gram is one
+Kneser-Ney model of order 4 per language is counted by Spark: workers count 4-grams, the shuffle adds them up. Every
+row counts but those with more than one symbol in ``SYMBOL_WORDS`` words, since junk must not teach the model that
+judges it; a language that has no other rows is counted whole. Lower orders use the numbers of distinct left neighbours, as the method has it. As a 4-gram is one
 of 2**24, a language's model has a proven bound (under 17 million entries of 8 bytes, in practice far less). It is
 kept as sorted arrays of packed keys beside float32 log-probabilities and back-off weights and looked up by
 binary search. Languages are handled in groups whose models together stay within ``MODEL_BYTES``.
@@ -40,6 +41,7 @@ HELD_KEYS = 1 << 21  # distinct n-grams that a worker adds up before it passes t
 WINDOW = 8
 # The characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
+SYMBOL_WORDS = 10
 _alphabet: list[np.ndarray] = []
 
 
@@ -74,24 +76,24 @@ def gram_keys(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, key, n): how often each 4-gram occurs in the texts of each language."""
+    """(lang, key, n): how often each 4-gram occurs in the texts of each language that train its model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[tuple[str | None, bool], tuple[np.ndarray, np.ndarray]] = {}
 
-        def add(lang: str | None, keys: np.ndarray) -> None:
+        def add(kind: tuple[str | None, bool], keys: np.ndarray) -> None:
             key, n = np.unique(keys, return_counts=True)
-            if lang in held:
-                both = np.concatenate((held[lang][0], key))
-                n = np.concatenate((held[lang][1], n))
+            if kind in held:
+                both = np.concatenate((held[kind][0], key))
+                n = np.concatenate((held[kind][1], n))
                 key, at = np.unique(both, return_inverse=True)
                 n = np.bincount(at, n, len(key)).astype(np.int64)
-            held[lang] = key, n
+            held[kind] = key, n
 
         def out() -> Iterator[pa.RecordBatch]:
-            for lang, (key, n) in held.items():
-                columns = [pa.array([lang] * len(key), pa.string()), pa.array(key.astype(np.int32)), pa.array(n.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "key", "n"])
+            for (lang, trains), (key, n) in held.items():
+                columns = [pa.array([lang] * len(key), pa.string()), pa.array([trains] * len(key), pa.bool_()), pa.array(key.astype(np.int32)), pa.array(n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "trains", "key", "n"])
             held.clear()
 
         for batch in batches:
@@ -99,17 +101,33 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             for part in slices(batch.column(0)):
                 keys, bounds = gram_keys(part.data, part.bounds)
                 own = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                here = langs[part.first : part.last]
-                for lang in set(here.tolist()):
-                    member = np.array([x == lang for x in here.tolist()])
+                trains = few_symbols(part.data, part.bounds).tolist()
+                here = list(zip(langs[part.first : part.last].tolist(), trains, strict=True))
+                for kind in set(here):
+                    member = np.array([x == kind for x in here])
                     if member.any() and len(keys):
-                        add(lang, keys[member[own]] if not member.all() else keys)
+                        add(kind, keys[member[own]] if not member.all() else keys)
             if sum(len(k) for k, _ in held.values()) > HELD_KEYS:
                 yield from out()
         yield from out()
 
-    counted = docs.select(text_col, lang_col).mapInArrow(run, "lang string, key int, n bigint")
-    return counted.groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    counted = docs.select(text_col, lang_col).mapInArrow(run, "lang string, trains boolean, key int, n bigint")
+    counted = written(counted.groupBy("lang", "trains", "key").agg(F.sum("n").alias("n")), "kinds")
+    taught = counted.where("trains").select(F.col("lang").alias("taught")).distinct()
+    whole = counted.where("not trains").join(F.broadcast(taught), F.col("lang").eqNullSafe(F.col("taught")), "left_anti")
+    return counted.where("trains").unionByName(whole).select("lang", "key", "n")
+
+
+def few_symbols(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which documents have one symbol in ``SYMBOL_WORDS`` words at most."""
+    words = np.diff(split_words(data, bounds).bounds)
+    return SYMBOL_WORDS * _symbols(data, bounds) <= words
+
+
+def _symbols(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    marked = np.zeros(256, bool)
+    marked[list(SYMBOLS)] = True
+    return np.diff(np.concatenate(([0], np.cumsum(marked[data])))[bounds])
 
 
 class Order(NamedTuple):
@@ -204,9 +222,7 @@ def base_statistics(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     own = owners(words.bounds)
     chars = np.bincount(own, lead[words.end] - lead[words.start], docs).astype(np.int64)
-    marked = np.zeros(256, bool)
-    marked[list(SYMBOLS)] = True
-    n_symbols = np.diff(np.concatenate(([0], np.cumsum(marked[data])))[bounds])
+    n_symbols = _symbols(data, bounds)
 
     breaks = np.flatnonzero(data == 10)
     start = np.concatenate((bounds[:-1], breaks + 1))

@@ -86,6 +86,21 @@ def test_gibberish_is_rejected_and_clean_text_kept(spark):
     assert all(kept[i] for i in range(300)) and not any(kept[300 + i] for i in range(3))
 
 
+def test_junk_of_usual_character_sequences_is_rejected(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice(["an", "the", "re", "on", "er", "st"]) for _ in range(rng.randint(1, 3)))
+    clean = [" ".join(word() for _ in range(120)) for _ in range(200)]
+    tables = [" | ".join(word() for _ in range(80)) for _ in range(10)]
+    marked = [" ".join(word() + rng.choice(["%%%", "&&&", "***"]) for _ in range(80)) for _ in range(10)]
+    rows = [(i, t, "en") for i, t in enumerate(clean + tables + marked)]
+    rows += [(1000 + i, t, "sym") for i, t in enumerate(tables)]  # a language of nothing else is counted whole
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r for r in q.judge(df).collect()}
+    assert len(got) == len(rows) and all(got[i].kept for i in range(200))
+    assert not [i for i in range(200, 220) if got[i].kept]
+    assert all(got[1000 + i].kept and got[1000 + i].n_words == 159 for i in range(10))
+
+
 def test_odd_documents(odd_docs, no_docs):
     rows = {r.doc_id: r for r in q.judge(odd_docs).collect()}
     assert q.judge(odd_docs).count() == odd_docs.count()
