@@ -12,13 +12,18 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+BROADCAST_ROWS = 1 << 20  # keys handed to every worker at most; more are joined by a shuffle
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         found = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -48,6 +53,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return stored(df, name)[0]
 
 
+def small_side(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of ids or keys, to be handed to every worker if it has few rows; a shuffle joins more of them."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def release(spark: SparkSession) -> None:
     """Let the context cleaner drop shuffle files of finished jobs now, not whenever the heap next fills."""
     import gc
