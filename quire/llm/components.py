@@ -12,15 +12,18 @@ from pyspark.sql import functions as F
 from quire.llm.scratch import written
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over edges with a > b."""
+EDGES_A_TASK = 100_000
+
+
+def _star(edges: DataFrame, tasks: int) -> DataFrame:
+    """One large-star and one small-star step over edges with a > b, in so many tasks at most."""
     both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-    least = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(least, "a")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(tasks)
+    large = both.where("v > u").join(least, "u").coalesce(tasks).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct().coalesce(tasks)
+    least = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks)
+    small = large.join(least, "a").coalesce(tasks)
     small = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-    return small.where("a > b").distinct()
+    return small.where("a > b").distinct().coalesce(tasks)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -37,6 +40,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == state:
             break
         state = now
-        edges = _star(edges)
+        edges = _star(edges, 1 + now[0] // EDGES_A_TASK)
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.union(edges.select("b", "b").distinct())
