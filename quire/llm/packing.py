@@ -32,7 +32,7 @@ _encoders: dict[str, object] = {}
 
 
 class Encoder:
-    """Ids of a byte-level BPE given as a tokenizers JSON file; special tokens' strings are ordinary text.
+    """Ids of a byte-level BPE given as a tokenizers JSON file; as there, a special token's string in a text is that token.
 
     The same vocabulary and split rule run in tiktoken, several times as fast and with the same ids; a text on
     which that gives up (its split rule has a limit on one run of white space) goes through tokenizers itself.
@@ -43,24 +43,24 @@ class Encoder:
 
         self.path, self.slow = path, None
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            whole = json.load(f)
+        vocabulary, added = whole["model"]["vocab"], {x["content"]: x["id"] for x in whole.get("added_tokens", [])}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-        ranks = {bytes(byte_of[c] for c in word): i for word, i in vocabulary.items() if all(c in byte_of for c in word) and not word.startswith("<|endof")}
+        ranks = {bytes(byte_of[c] for c in word): i for word, i in vocabulary.items() if word not in added and all(c in byte_of for c in word)}
         # Fixed value: the split rule of this family of vocabularies.
         rule = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.fast = tiktoken.Encoding("byte_bpe", pat_str=rule, mergeable_ranks=ranks, special_tokens={})
+        self.fast = tiktoken.Encoding("byte_bpe", pat_str=rule, mergeable_ranks=ranks, special_tokens=added)
 
     def ids(self, text: str) -> np.ndarray:
         try:
-            return self.fast.encode_to_numpy(text, disallowed_special=())
+            return self.fast.encode_to_numpy(text, allowed_special="all")
         except ValueError:  # the split rule's limit on backtracking
             if self.slow is None:  # seldom needed, so seldom in a worker's memory
                 from tokenizers import Tokenizer
 
                 self.slow = Tokenizer.from_file(self.path)
-                self.slow.encode_special_tokens = True
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -161,7 +161,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     groups = spread.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
     groups = groups.select("length", "part", before.alias("before"))
-    number = F.row_number().over(Window.partitionBy("length", "part").orderBy(id_col, "start"))
+    number = F.row_number().over(Window.partitionBy("length", "part").orderBy(id_col, "start", "ids_crc32", "doc_tokens"))
     ranked = spread.withColumn("number", number).join(groups, ["length", "part"]).withColumn("rank", F.col("before") + F.col("number") - 1)
     runs = docs.sparkSession.createDataFrame(layout(counts, window), "length bigint, first bigint, stop bigint, each bigint, sequence bigint, at bigint")
     # at most a few runs for each of the window's lengths, whatever the corpus

@@ -45,10 +45,9 @@ def test_layout_places_every_piece_once():
 
 def test_ids_are_the_tokenizers(spark):
     slow = Tokenizer.from_file(PATH)
-    slow.encode_special_tokens = True
     fast = packing.encoder(PATH)
     texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
-    texts += ["", " ", "a<|endoftext|>b", "\U0001f600é\n\n  x", "don't 12 345", " " * 3000]
+    texts += ["", " ", "a<|endoftext|>b", "<|endoftext|>", " <|endoftext|><|endoftext|> \n", "<|endoftext |>", "\U0001f600é\n\n  x", "don't 12 345", " " * 3000]
     for t in texts:
         assert fast.ids(t).tolist() == slow.encode(t, add_special_tokens=False).ids
     assert len(fast.ids(" " * 1_500_000)) == len(slow.encode(" " * 1_500_000, add_special_tokens=False).ids)
