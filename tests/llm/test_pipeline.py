@@ -44,14 +44,16 @@ def plain_quality(rows):
     scored = []
     for lang, texts in by_lang.items():
         grams = collections.Counter()
-        symbols = lambda t: [0, 0, 0] + [int(quality.alphabet()[min(ord(c), 65535)]) for c in t]
-        for t in texts:
+        order = quality.ORDER
+        symbols = lambda t: [0] * (order - 1) + [int(quality.alphabet()[min(ord(c), 65535)]) for c in t]
+        taught = [t for t in texts if 10 * sum(c in "#*$%&|<>" for c in t) <= len(test_quality.WORD.findall(t))]
+        for t in set(taught if any(taught) else texts):
             s = symbols(t)
-            grams.update(tuple(s[i : i + 4]) for i in range(len(s) - 3))
-        orders = {4: grams}
-        for k in (3, 2, 1):
+            grams.update(tuple(s[i : i + order]) for i in range(len(s) - order + 1))
+        orders = {order: grams}
+        for k in range(order - 1, 0, -1):
             orders[k] = collections.Counter(g[1:] for g in orders[k + 1])
-        cut = {k: quality._discounts(np.array(list(c.values()))) for k, c in orders.items() if c}
+        cut = {k: quality._discounts(quality.tallies(np.array(list(c.values())))) for k, c in orders.items() if c}
         total, left = collections.Counter(), collections.Counter()
         for k, c in orders.items():
             for g, n in c.items():
@@ -61,7 +63,7 @@ def plain_quality(rows):
         def p(g, orders=orders, cut=cut, total=total, left=left):
             k = len(g)
             if not k:
-                return 1 / 64
+                return 1 / 256
             t = total[k, g[:-1]]
             if not t:
                 return p(g[1:])
@@ -71,19 +73,24 @@ def plain_quality(rows):
         for i, t, own in rows:
             if own == lang:
                 s = symbols(t or "")
-                ppl = -sum(math.log(p(tuple(s[j : j + 4]))) for j in range(len(s) - 3)) / max(len(t or ""), 1)
+                grams_of = [tuple(s[j : j + order]) for j in range(len(s) - order + 1)]
+                ppl, low = (-sum(math.log(p(g[-n:])) for g in grams_of) / max(len(t or ""), 1) for n in (order, quality.LOWER))
                 words, _, _, _, repeated = test_quality.statistics(t or "")
-                scored.append((i, lang, len(t or ""), ppl, words < 20 or 100 * repeated > 30 * words))
+                scored.append((i, lang, len(t or ""), ppl, words < 20 or 100 * repeated > 30 * words, low))
     kept = set()
     for lang in by_lang:
         own = [x for x in scored if x[1] == lang and not x[4]]
         if not own:
             continue
         pick = lambda v, q, grid: np.percentile(np.floor(np.array(v) * grid) / grid, 100 * q)
-        middle = pick([x[3] for x in own], 0.5, quality.PPL_GRID)
-        z = [(x[3] - middle) * math.sqrt(x[2]) for x in own]
-        reach = 4.0 * max(pick(z, 0.75, quality.Z_GRID) - pick(z, 0.25, quality.Z_GRID), quality.LEAST_SPREAD)
-        kept |= {x[0] for x in own if middle - reach / math.sqrt(x[2]) <= x[3] <= middle + reach / math.sqrt(x[2]) + 0.6}
+        some = sorted({(x[2], round(x[3], 9), round(x[5], 9)) for x in own})
+        reach = []
+        for k, middle in ((1, pick([x[1] for x in some], 0.5, quality.PPL_GRID)), (2, pick([x[2] for x in some], 0.5, quality.PPL_GRID))):
+            z = [(x[k] - middle) * math.sqrt(x[0]) for x in some]
+            half = pick(z, 0.75, quality.Z_GRID) if k == 1 else -pick(z, 0.25, quality.Z_GRID)
+            reach.append(8.0 * max(half, quality.LEAST_SPREAD / 2))
+        high = pick([x[1] for x in some], 0.75, quality.PPL_GRID)
+        kept |= {x[0] for x in own if x[5] >= middle - reach[1] / math.sqrt(x[2]) - 0.3 and x[3] <= high + reach[0] / math.sqrt(x[2]) + 0.3}
     return [r for r in rows if r[0] in kept]
 
 

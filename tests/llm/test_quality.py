@@ -44,12 +44,12 @@ def kneser_ney(texts):
     orders = {n: counts}
     for k in range(n - 1, 0, -1):
         orders[k] = collections.Counter(g[1:] for g in orders[k + 1])
-    cut = {k: q._discounts(np.array(list(c.values()))) for k, c in orders.items()}
+    cut = {k: q._discounts(q.tallies(np.array(list(c.values())))) for k, c in orders.items()}
 
     def p(gram):
         k = len(gram)
         if not k:
-            return 1 / 64
+            return 1 / 256
         own = {g: c for g, c in orders[k].items() if g[:-1] == gram[:-1]}
         total = sum(own.values())
         if not total:
@@ -61,19 +61,36 @@ def kneser_ney(texts):
     return p
 
 
-def test_model_like_dictionary_version():
+def test_model_like_dictionary_version(spark):
     rng = random.Random(4)
     texts = ["".join(rng.choice("abcab d.") for _ in range(60)) for _ in range(12)]
-    keys = np.concatenate([q.gram_keys(p.data, p.bounds)[0] for p in slices(pa.array(texts))])
-    model = q.estimate(*np.unique(keys, return_counts=True))
+    others = ["abc dz. ab | | |", "zzzz #", ""]  # of many symbols: judged, not learned
+    rows = [(i, t, lang) for i, t in enumerate(texts + others + texts[:3]) for lang in ("en", None)]  # copies train once
+    df = spark.createDataFrame(rows, "id bigint, text string, lang string").repartition(3)
+    table = q.log_probabilities(q.count_grams(q.first_copies(df, "id", "text", "lang"))).collect()
     p = kneser_ney(texts)
-    probe = np.concatenate([q.gram_keys(x.data, x.bounds)[0] for x in slices(pa.array(["abc dz. ab", "zzzz", texts[0]]))])
-    got = q.log_probability(model, probe)
-    for key, value in zip(probe.tolist(), got.tolist(), strict=True):
-        gram = tuple(key >> 6 * i & 63 for i in range(3, -1, -1))
-        assert math.isclose(math.exp(value), p(gram), rel_tol=1e-9)
-    for context in [(1, 2, 3), (0, 0, 0)]:
-        assert math.isclose(sum(p((*context, s)) for s in range(64)), 1, rel_tol=1e-9)
+    seen = set()
+    for r in table:
+        gram = tuple(r.key >> q.SYMBOL_BITS * i & 255 for i in range(q.ORDER - 1, -1, -1))
+        assert math.isclose(math.exp(r.logp), p(gram), rel_tol=1e-5)
+        assert math.isclose(math.exp(r.low), p(gram[-q.LOWER :]), rel_tol=1e-5)
+        seen.add((r.lang, gram))
+    assert len(seen) == len(table)
+    want = set()
+    for t in texts + others:
+        s = [0] * (q.ORDER - 1) + [int(q.alphabet()[ord(c)]) for c in t]
+        want |= {(lang, tuple(s[i : i + q.ORDER])) for i in range(len(t)) for lang in ("=en", "")}
+    assert seen == want
+    for context in [(1, 2, 3), (0, 0, 0, 0, 0)]:
+        assert math.isclose(sum(p((*context, s)) for s in range(256)), 1, rel_tol=1e-9)
+
+
+def test_large_model_gives_the_same(spark, odd_docs, monkeypatch):
+    monkeypatch.setattr(q, "CHUNK_CHARS", 30_000)
+    rows = lambda df: sorted((repr(tuple(r)) for r in df.collect()))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for df in (odd_docs, docs):
+        assert rows(q.judge(df, model_rows=0)) == rows(q.judge(df))
 
 
 def test_gibberish_is_rejected_and_clean_text_kept(spark):
