@@ -6,6 +6,7 @@ import datetime
 import difflib
 import re
 import unicodedata
+from collections import Counter
 from fnmatch import fnmatchcase
 
 import pandas as pd
@@ -16,35 +17,38 @@ from pyspark.sql.types import DoubleType, StringType
 LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st"}
 
 
+# The pieces of a pattern that decide what a blank in it means.
+_PIECES = re.compile(
+    r"""(?P<escape>\\N\{[^}]*\}|\\.)
+      | (?P<class>\[\^?\]?(?:\\.|[^\]\\])*\])
+      | (?P<comment>\(\?\#(?:\\.|[^)\\])*\))
+      | (?P<flags>\(\?[aiLmsux]*(?:-[imsx]+)?\))
+      | (?P<behind>\(\?<[=!])
+      | (?P<open>\()
+      | (?P<close>\))
+      | (?P<blank>[ ]+)
+      | (?P<other>.)""",
+    re.VERBOSE | re.DOTALL,
+)
+
+
 def hit_pattern(pattern: str) -> re.Pattern:
-    """A search pattern: ligatures spelled out, runs of blanks outside classes match any white space."""
+    """A search pattern: ligatures spelled out, and runs of blanks match any white space.
+
+    Blanks in classes, comments and names keep their meaning, those in lookbehinds their width; in a verbose pattern
+    they have none.
+    """
     spelled = "".join(LIGATURES.get(c, c) for c in pattern)
-    verbose = re.match(r"\(\?[a-z]*x", spelled)
-    out, i, in_class, behind = [], 0, False, 0
-    while i < len(spelled):
-        c = spelled[i]
-        if c == "\\":
-            out.append(spelled[i : i + 2])
-            i += 2
-            continue
-        if in_class:
-            in_class = c != "]"
-        elif c == "[":
-            in_class = True
-            if spelled[i + 1 : i + 2] in ("]",):
-                out.append("[")
-                c, i = "]", i + 1
-        elif spelled.startswith(("(?<=", "(?<!"), i):
-            behind = 1
-        elif behind:
-            behind += (c == "(") - (c == ")")
-        if c == " " and not in_class and not behind and not verbose:
-            while spelled[i : i + 1] == " ":
-                i += 1
-            out.append(r"(?:\s+)")
-            continue
-        out.append(c)
-        i += 1
+    out, groups = [], [False]  # of each open group whether it lies in a lookbehind
+    for m in _PIECES.finditer(spelled):
+        kind = m.lastgroup
+        if kind in ("flags", "open") and re.match(r"\(\?[aiLmsu]*x", spelled[m.start() :]):
+            return re.compile(spelled, re.IGNORECASE | re.MULTILINE)
+        if kind in ("open", "behind"):
+            groups.append(groups[-1] or kind == "behind")
+        elif kind == "close" and len(groups) > 1:
+            groups.pop()
+        out.append(r"(?:\s+)" if kind == "blank" and not groups[-1] else m[0])
     return re.compile("".join(out), re.IGNORECASE | re.MULTILINE)
 
 
@@ -154,6 +158,12 @@ def line_ratio(left: list[str], right: list[str]) -> float:
     return difflib.SequenceMatcher(None, right, left, autojunk=False).ratio()
 
 
+def ratio_bound(left: list[str], right: list[str]) -> float:
+    """What ``line_ratio`` cannot exceed: the lines that both have, in any order."""
+    shared = sum((Counter(left) & Counter(right)).values())
+    return 2 * shared / (len(left) + len(right)) if left or right else 1.0
+
+
 def unified(left: list[str], right: list[str], context: int) -> list[str]:
     return list(difflib.unified_diff(left, right, lineterm="", n=context))[2:]
 

@@ -54,8 +54,9 @@ def drawn(page: int, kind: str, points: list[tuple[float, float]], contents: str
 
 def fill(widgets: DataFrame, values: DataFrame) -> DataFrame:
     """widgets (qualified, local, value) with the values given under either name; the qualified name goes first."""
-    by_full = values.select(F.col("name").alias("qualified"), F.col("new").alias("new_full"))
-    by_local = values.select(F.col("name").alias("local"), F.col("new").alias("new_local"))
+    one = values.groupBy("name").agg(F.max("new").alias("new"))  # a name given twice counts once, by its greatest value
+    by_full = one.select(F.col("name").alias("qualified"), F.col("new").alias("new_full"))
+    by_local = one.select(F.col("name").alias("local"), F.col("new").alias("new_local"))
     joined = widgets.join(by_full, "qualified", "left").join(by_local, "local", "left")
     new = F.coalesce("new_full", "new_local")
     return joined.withColumn("filled", new.isNotNull()).withColumn("value", F.coalesce(new, F.col("value"))).drop("new_full", "new_local")
@@ -82,16 +83,20 @@ def xfdf(widgets: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     return rows.select(doc_col, F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><xfdf xmlns="http://ns.adobe.com/xfdf/"><fields>'), F.col("_x"), F.lit("</fields></xfdf>")).alias("xfdf"))
 
 
-def qualified_names(fields: DataFrame, depth: int = 128) -> DataFrame:
+def qualified_names(fields: DataFrame) -> DataFrame:
     """fields (doc_id, id, parent, name) with ``qualified``: names from the root joined by dots.
 
-    One join a level, until no field has a parent left to look up; at most ``depth`` levels.
+    Each round joins every field's name so far with that of the field it starts below, which doubles the levels a name
+    spans, so the rounds are the logarithm of the greatest depth. Fields above one another in a circle are an error.
     """
-    rows = fields.withColumn("qualified", F.col("name")).withColumn("_up", F.col("parent"))
-    above = fields.select(F.col("doc_id").alias("_doc"), F.col("id").alias("_id"), F.col("name").alias("_name"), F.col("parent").alias("_next"))
-    for _ in range(depth):
-        if not rows.where("_up is not null").head(1):
-            break
+    rows = fields.withColumns({"qualified": F.col("name"), "_up": F.col("parent")})
+    rounds = 0
+    while rows.where("_up is not null").limit(1).count():
+        rounds += 1
+        if rounds > 40:
+            raise ValueError("fields that are their own parents")
+        rows = rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows
+        above = rows.select(F.col("doc_id").alias("_doc"), F.col("id").alias("_id"), F.col("qualified").alias("_name"), F.col("_up").alias("_next"))
         joined = rows.join(above, (F.col("doc_id") == F.col("_doc")) & (F.col("_up") == F.col("_id")), "left")
         name = F.when(F.col("_name").isNotNull(), F.concat_ws(".", "_name", "qualified")).otherwise(F.col("qualified"))
         rows = joined.withColumn("qualified", name).withColumn("_up", F.col("_next")).drop("_doc", "_id", "_name", "_next")

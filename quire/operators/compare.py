@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.expressions import text_lines
-from quire.functions.pytext import line_ratio, unified
+from quire.functions.pytext import line_ratio, ratio_bound, unified
 
 
 def structure(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -38,16 +38,33 @@ def exact_pages(left: DataFrame, candidates: DataFrame, key: str, candidate: str
     return a.join(first, "line_hash").select(key, candidate)
 
 
-def quick_ratio(left: DataFrame, right: DataFrame, key: str, candidate: str, least: float = 0.0) -> DataFrame:
-    """Upper bound of the similarity of two texts' words, 2 * shared / (n + m), of the pairs that share any.
+def quick_ratio(left: DataFrame, right: DataFrame, key: str, candidate: str, least: float = 0.6) -> DataFrame:
+    """Upper bound of the similarity of two texts' words, 2 * shared / (n + m), of the pairs that reach ``least``.
 
-    Words are counted per text and joined, so only texts with a word in common meet.
+    A pair that does shares at least c = least * n / (2 - least) words with the text of n, so one of any n - c + 1 words
+    of each. Texts meet on those, the words rarest on the right first (the k-th of equal words is one of its own), and
+    only pairs that meet and fit by size are counted out.
     """
+    if not 0 < least <= 1:
+        raise ValueError("the least similarity lies above 0 and at most at 1")
     words = lambda df, k: df.select(k, F.explode(F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda w: w != "")).alias("word"))
     a = words(left, key).groupBy(key, "word").agg(F.count("*").alias("n"))
     b = words(right, candidate).groupBy(candidate, "word").agg(F.count("*").alias("m"))
+    often = b.groupBy("word").agg(F.count("*").alias("often"))
+
+    def filed(counts: DataFrame, k: str, n: str) -> DataFrame:
+        """The words that a text is filed under, and its size; words unknown on the right come first and meet nothing."""
+        ranked = counts.join(often, "word", "left").select(k, "word", F.explode(F.sequence(F.lit(1), F.col(n))).alias("copy"), F.coalesce("often", F.lit(0)).alias("often"))
+        place = Window.partitionBy(k).orderBy("often", "word", "copy")
+        ranked = ranked.withColumns({"place": F.row_number().over(place), "size": F.count("*").over(Window.partitionBy(k))})
+        needed = F.ceil(F.col("size") * F.lit(least) / (2 - F.lit(least)) - F.lit(1e-9))
+        return ranked.where((F.col("place") <= F.col("size") - needed + 1) & (F.col("often") > 0)).select(k, "word", "copy", "size")
+
+    one, two = filed(a, key, "n"), filed(b, candidate, "m").withColumnRenamed("size", "size_b")
+    fits = 2 * F.least("size", "size_b") >= F.lit(least) * (F.col("size") + F.col("size_b")) - F.lit(1e-9)
+    pairs = one.join(two, ["word", "copy"]).where(fits).select(key, candidate).distinct()
     na, nb = a.groupBy(key).agg(F.sum("n").alias("na")), b.groupBy(candidate).agg(F.sum("m").alias("nb"))
-    shared = a.join(b, "word").groupBy(key, candidate).agg(F.sum(F.least("n", "m")).alias("shared"))
+    shared = pairs.join(a, key).join(b, [candidate, "word"]).groupBy(key, candidate).agg(F.sum(F.least("n", "m")).alias("shared"))
     scored = shared.join(na, key).join(nb, candidate)
     return scored.withColumn("ratio", 2 * F.col("shared") / (F.col("na") + F.col("nb"))).where(F.col("ratio") >= least)
 
@@ -57,25 +74,36 @@ def best_match(pages: DataFrame, others: DataFrame, doc_col: str = "doc_id") ->
 
     Both have (doc_id, page, text). An equal page at the same index wins, then the first equal page, then the
     highest line similarity, where the page at the same index and then earlier ones win ties. A blank page has no
-    match. Equal pages are found by a hash join; only what is left is compared line by line, document by document.
+    match. Equal pages are found by a hash join; what is left of a document meets in one row, where a pair is compared
+    line by line only if the lines that both have, whatever their order, could beat the best so far.
     """
     a, b = with_lines(pages).where(F.size("lines") > 0), with_lines(others).where(F.size("lines") > 0)
     place = F.when(F.col("b.page") == F.col("a.page"), -1).otherwise(F.col("b.page"))
     same = a.alias("a").join(b.alias("b"), [doc_col, "line_hash"]).groupBy(F.col(doc_col), F.col("a.page").alias("page")).agg(F.min(F.struct(place.alias("o"), F.col("b.page").alias("match"))).alias("m"))
     exact = same.select(doc_col, "page", F.col("m.match").alias("match"), F.lit(1.0).alias("ratio"))
-    rest = a.join(exact, [doc_col, "page"], "left_anti")
-    pairs = rest.select(doc_col, "page", "lines").join(b.select(doc_col, F.col("page").alias("match"), F.col("lines").alias("other")), doc_col)
+    rest = a.join(exact, [doc_col, "page"], "left_anti").groupBy(doc_col).agg(F.collect_list(F.struct("page", "lines")).alias("rest"))
+    whole = b.groupBy(doc_col).agg(F.array_sort(F.collect_list(F.struct("page", "lines"))).alias("others"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ratio = [line_ratio(list(x), list(y)) for x, y in zip(batch["lines"], batch["other"], strict=True)]
-            yield batch[[doc_col, "page", "match"]].assign(ratio=ratio)
+            rows = [(k, x["page"], *best_of(x, other)) for k, rest_, other in zip(batch[doc_col], batch["rest"], batch["others"], strict=True) for x in rest_]
+            yield pd.DataFrame(rows, columns=[doc_col, "page", "match", "ratio"])
 
     kind = pages.schema[doc_col].dataType.simpleString()
-    scored = pairs.mapInPandas(score, f"{doc_col} {kind}, page bigint, match bigint, ratio double")
-    first = Window.partitionBy(doc_col, "page").orderBy(F.desc("ratio"), F.desc(F.col("match") == F.col("page")), "match")
-    best = scored.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
-    return exact.unionByName(best)
+    return exact.unionByName(rest.join(whole, doc_col).mapInPandas(score, f"{doc_col} {kind}, page bigint, match bigint, ratio double"))
+
+
+def best_of(page: dict, others: list[dict]) -> tuple[int, float]:
+    """The most similar of some pages, in their order but for the one of the same index, which goes first."""
+    match, best = -1, -1.0
+    own = list(page["lines"])
+    for other in sorted(others, key=lambda o: o["page"] != page["page"]):
+        lines = list(other["lines"])
+        if ratio_bound(own, lines) > best:
+            ratio = line_ratio(own, lines)
+            if ratio > best:
+                match, best = int(other["page"]), ratio
+    return match, best
 
 
 def diffs(pages: DataFrame, others: DataFrame, matches: DataFrame, context: int = 1, most_lines: int = 20, doc_col: str = "doc_id") -> DataFrame:

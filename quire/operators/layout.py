@@ -1,7 +1,7 @@
 """Page layout from positioned words: rows, columns and reading order; ruled tables from edges.
 
 Rows gather words around the first word's top, which is a fold over ordered words and no lag: it is done page by
-page in grouped-map functions, a page being small.
+page.
 """
 
 from __future__ import annotations
@@ -13,33 +13,36 @@ from collections import defaultdict
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from quire.operators.paged import Box, by_page, united
+
 # Fixed values, in points.
 ROW_TOLERANCE, COLUMN_GAP, SPANNING_SHARE = 3.0, 24.0, 0.55
 SNAP, JOIN, CROSS = 3.0, 3.0, 3.0
 
 BOX = ["x0", "y0", "x1", "y1"]
+Row = tuple[int, str, float, float, float, float]
 
 
-def anchored(words: pd.DataFrame) -> list[pd.DataFrame]:
+def anchored(words: list[Box]) -> list[list[Box]]:
     """Words in rows: a word belongs to the last row if its top is within the tolerance of that row's first word."""
-    ordered = words.sort_values(["y0", "x0"], kind="stable")
-    groups, anchor, n = [], None, -1
-    for y in ordered["y0"]:
-        if anchor is None or abs(y - anchor) > ROW_TOLERANCE:
-            anchor, n = y, n + 1
-        groups.append(n)
-    return [g for _, g in ordered.groupby(pd.Series(groups, ordered.index), sort=True)]
+    rows: list[list[Box]] = []
+    for w in sorted(words, key=lambda w: (w.y0, w.x0)):
+        if rows and abs(w.y0 - rows[-1][0].y0) <= ROW_TOLERANCE:
+            rows[-1].append(w)
+        else:
+            rows.append([w])
+    return rows
 
 
-def row_of(words: pd.DataFrame, column: int) -> dict:
-    text = " ".join(t for t in (w.strip() for w in words["text"]) if t)
-    return {"column": column, "text": text, "x0": round(words["x0"].min(), 2), "y0": round(words["y0"].iloc[0], 2), "x1": round(words["x1"].max(), 2), "y1": round(words["y1"].max(), 2)}
+def row_of(words: list[Box], column: int) -> Row:
+    x0, _, x1, y1 = united(words)
+    return column, " ".join(t for t in (w.text.strip() for w in words) if t), round(x0, 2), round(words[0].y0, 2), round(x1, 2), round(y1, 2)
 
 
-def columns_of(words: pd.DataFrame) -> list[tuple[float, float]]:
+def columns_of(words: list[Box]) -> list[tuple[float, float]]:
     """Horizontal extents that are more than the gap apart."""
     out: list[list[float]] = []
-    for x0, x1 in words[["x0", "x1"]].sort_values(["x0", "x1"]).itertuples(index=False):
+    for x0, x1 in sorted((w.x0, w.x1) for w in words):
         if out and x0 - out[-1][1] <= COLUMN_GAP:
             out[-1][1] = max(out[-1][1], x1)
         else:
@@ -47,44 +50,40 @@ def columns_of(words: pd.DataFrame) -> list[tuple[float, float]]:
     return [(a, b) for a, b in out]
 
 
-def reading_order(words: pd.DataFrame, width: float) -> list[dict]:
+def reading_order(words: list[Box], width: float) -> list[Row]:
     """The page's rows in reading order: column by column between the lines that span the page (column 0)."""
-    words = words[words["text"].str.strip() != ""]
-    if words.empty:
+    words = [w for w in words if w.text.strip()]
+    if not words:
         return []
     spanning, body = [], []
-    for line in anchored(words):
-        line = line.sort_values("x0", kind="stable")
-        gaps = line["x0"].iloc[1:].to_numpy() - line["x1"].iloc[:-1].to_numpy()
-        wide = line["x1"].iloc[-1] - line["x0"].iloc[0] > SPANNING_SHARE * width
-        (spanning if wide and (gaps.max() if len(gaps) else 0) <= COLUMN_GAP else body).append(line)
+    for row in anchored(words):
+        line = sorted(row, key=lambda w: w.x0)
+        close = all(b.x0 - a.x1 <= COLUMN_GAP for a, b in zip(line, line[1:], strict=False))
+        (spanning if close and line[-1].x1 - line[0].x0 > SPANNING_SHARE * width else body).extend(line)
     if not body:
-        spanning, body = [], [words]
-    inside = pd.concat(body)
-    bounds = columns_of(inside)
+        spanning, body = [], words
+    bounds = columns_of(body)
     if len(bounds) <= 1:
         return [row_of(r, 1) for r in anchored(words)]
-    rows = [[row_of(r, i + 1) for r in anchored(inside[(inside["x0"] >= a - 0.01) & (inside["x0"] <= b + 0.01)])] for i, (a, b) in enumerate(bounds)]
-    cuts = [row_of(r, 0) for r in anchored(pd.concat(spanning))] if spanning else []
+    rows = [[row_of(r, i + 1) for r in anchored([w for w in body if w.x0 >= a - 0.01 and w.x0 <= b + 0.01])] for i, (a, b) in enumerate(bounds)]
+    cuts = [row_of(r, 0) for r in anchored(spanning)]
     out, low = [], float("-inf")
     for cut in [*cuts, None]:
-        high = cut["y0"] if cut else float("inf")
-        out += [r for column in rows for r in column if low <= r["y0"] < high]
+        high = cut[3] if cut else float("inf")
+        out += [r for column in rows for r in column if low <= r[3] < high]
         if cut:
             out.append(cut)
             low = high
     return out
 
 
-def layout_rows(words: DataFrame, width: float = 612.0) -> DataFrame:
-    """(doc_id, page, seq, column, text, x0, y0, x1, y1) in reading order."""
+def layout_rows(words: DataFrame, width: float = 612.0, in_order: bool = False) -> DataFrame:
+    """(doc_id, page, seq, column, text, x0, y0, x1, y1) in reading order; in_order as in ``by_page``."""
 
-    def run(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        rows = [(*key, i, r["column"], r["text"], *(r[c] for c in BOX)) for i, r in enumerate(reading_order(page, width))]
-        return pd.DataFrame(rows, columns=["doc_id", "page", "seq", "column", "text", *BOX])
+    def fold(page: list[Box]) -> list[tuple]:
+        return [(i, *row) for i, row in enumerate(reading_order(page, width))]
 
-    kind = words.schema["doc_id"].dataType.simpleString()
-    return words.groupBy("doc_id", "page").applyInPandas(run, f"doc_id {kind}, page bigint, seq bigint, column bigint, text string, x0 double, y0 double, x1 double, y1 double")
+    return by_page(words, fold, "seq bigint, column bigint, text string, x0 double, y0 double, x1 double, y1 double", in_order)
 
 
 def snapped(values: list[float], tolerance: float) -> dict[float, float]:
@@ -169,15 +168,15 @@ def page_tables(edges: pd.DataFrame, words: pd.DataFrame) -> list[list[list[str
     sx, sy = snapped(v["x0"].tolist(), SNAP), snapped(h["top"].tolist(), SNAP)
     vertical = joined_segments([(sx[x], a, b) for x, a, b in zip(v["x0"], v["top"], v["bottom"], strict=True)])
     horizontal = joined_segments([(sy[y], a, b) for y, a, b in zip(h["top"], h["x0"], h["x1"], strict=True)])
+    boxes = [Box(i, 0, 0, *w) for i, w in enumerate(zip(words["text"], *(words[c] for c in BOX), strict=True))]
     out = []
     for cells in grouped_cells(find_cells(vertical, horizontal)):
         tops, lefts = sorted({c[1] for c in cells}), sorted({c[0] for c in cells})
         grid: list[list[str | None]] = [[None] * len(lefts) for _ in tops]
         for x0, y0, x1, y1 in cells:
-            mx, my = (words["x0"] + words["x1"]) / 2, (words["y0"] + words["y1"]) / 2
-            inside = words[(mx >= x0) & (mx < x1) & (my >= y0) & (my < y1)]
-            text = "\n".join(" ".join(line.sort_values("x0")["text"]) for line in anchored(inside)) if len(inside) else ""
-            grid[tops.index(y0)][lefts.index(x0)] = text
+            inside = [b for b in boxes if x0 <= (b.x0 + b.x1) / 2 < x1 and y0 <= (b.y0 + b.y1) / 2 < y1]
+            lines = (sorted(line, key=lambda b: b.x0) for line in anchored(inside))
+            grid[tops.index(y0)][lefts.index(x0)] = "\n".join(" ".join(b.text for b in line) for line in lines)
         out.append(grid)
     return out
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.running import sum_before
+
 
 def recent(jobs: DataFrame, limit: int = 20, id_col: str = "id") -> DataFrame:
     """Newest rows first; a negative limit lists all."""
@@ -38,19 +40,10 @@ def cache_sizes(pages: DataFrame, doc_col: str = "doc_id") -> DataFrame:
 def evict(cache: DataFrame, cap: int, id_col: str = "id", buckets: int = 64) -> DataFrame:
     """Rows that stay in a least-recently-used cache of ``cap`` bytes, with the running size from the newest.
 
-    Rows are cut into ranges by last use; sizes of ranges are added first, then rows within a range, so the total
-    order is never one task's work.
+    Of rows with one last use, those of greater ids are the newer.
     """
-    ranged = cache.withColumn("_bucket", F.lit(0))
-    if buckets > 1:
-        edges = cache.agg(F.percentile_approx("last_used", [i / buckets for i in range(1, buckets)], 1000).alias("e"))
-        ranged = cache.crossJoin(F.broadcast(edges)).withColumn("_bucket", F.size(F.filter("e", lambda x: x <= F.col("last_used")))).drop("e")  # one row
-    sizes = ranged.groupBy("_bucket").agg(F.sum("row_bytes").alias("_size"))
-    later = sizes.select("_bucket", (F.sum("_size").over(Window.orderBy(F.desc("_bucket"))) - F.col("_size")).alias("_later"))  # a row a bucket
-    within = Window.partitionBy("_bucket").orderBy(F.desc("last_used"), F.desc(id_col)).rowsBetween(Window.unboundedPreceding, 0)
-    running = ranged.withColumn("_own", F.sum("row_bytes").over(within)).join(F.broadcast(later), "_bucket")
-    kept = running.withColumn("running_bytes", (F.col("_own") + F.col("_later")).cast("bigint"))
-    return kept.where(F.col("running_bytes") <= cap).drop("_bucket", "_own", "_later")
+    running = sum_before(cache, [], -F.col("last_used").cast("double"), [F.desc("last_used"), F.desc(id_col)], F.col("row_bytes"), "_newer", buckets)
+    return running.withColumn("running_bytes", (F.col("_newer") + F.col("row_bytes")).cast("bigint")).where(F.col("running_bytes") <= cap).drop("_newer")
 
 
 def upsert(cache: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.expressions import cosine
+from quire.operators.running import sum_before
 
 
 def scored(vectors: DataFrame, query: DataFrame, vector_col: str = "embedding") -> DataFrame:
@@ -30,4 +31,5 @@ def centroids(vectors: DataFrame, group: str, vector_col: str = "embedding") ->
 def ranks(vectors: DataFrame, centers: DataFrame, group: str, id_col: str, vector_col: str = "embedding") -> DataFrame:
     """Rank of each vector among those of its group by score to the group's center, best first, ties by id."""
     joined = vectors.join(centers, group).withColumn("score4", F.floor(cosine(F.col(vector_col), F.col("query")) * 10000 + 0.5).cast("bigint"))
-    return joined.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score4"), id_col)).cast("bigint")).drop("query")
+    better = sum_before(joined.drop("query"), [group], -F.col("score4"), [id_col], F.lit(1), "rank")
+    return better.withColumn("rank", (F.col("rank") + 1).cast("bigint"))

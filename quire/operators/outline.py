@@ -20,11 +20,16 @@ def validate(rows: DataFrame, page_counts: DataFrame, doc_col: str = "doc_id") -
     return joined.withColumn("error", error)
 
 
-def parents(rows: DataFrame, doc_col: str = "doc_id", depth: int = 16) -> DataFrame:
-    """rows with ``parent``, the ord of the nearest row above of the level one less, for levels up to ``depth``."""
-    w = Window.partitionBy(doc_col).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.array(*[F.last(F.when(F.col("level") == k, F.col("ord")), ignorenulls=True).over(w) for k in range(1, depth)])
-    return rows.withColumn("parent", F.when(F.col("level") > 1, F.get(last, F.col("level").cast("int") - 2)))
+def parents(rows: DataFrame, doc_col: str = "doc_id") -> DataFrame:
+    """rows with ``parent``, the ord of the nearest row above of the level one less, whatever the level.
+
+    Each row asks under its own level and answers under the next, so the nearest answer above is a last value.
+    """
+    asks = rows.withColumns({"_level": F.col("level").cast("bigint"), "_ask": F.lit(True), "_ord": F.lit(None).cast(rows.schema["ord"].dataType)})
+    answers = rows.withColumns({"_level": F.col("level").cast("bigint") + 1, "_ask": F.lit(False), "_ord": F.col("ord")})
+    above = Window.partitionBy(doc_col, "_level").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    found = asks.unionByName(answers).withColumn("parent", F.last("_ord", ignorenulls=True).over(above))
+    return found.where("_ask").drop("_level", "_ask", "_ord")
 
 
 def clear(rows: DataFrame, doc_col: str = "doc_id") -> DataFrame:

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.expressions import literal_hits
 from quire.functions.pytext import hit_pattern, literal_pattern, word_spans
-
+from quire.operators.paged import Box, by_page, united
+from quire.operators.running import sum_before
 
 SHORT_BLOCK = 500  # needles tested in one scan
+ANCHORS = 1 << 20  # anchors handed to every worker at most; more meet the pages in a shuffle
 
 
 def hits(pages: DataFrame, query: str, text_col: str = "text") -> DataFrame:
@@ -28,9 +30,7 @@ def limited(pages: DataFrame, query: str, limit: int, partition: str, order: str
     if limit < 1:
         raise ValueError("--limit must be 1 or more")
     counted = pages.select(partition, order, literal_hits(F.col("text"), query).alias("hits"))
-    w = Window.partitionBy(partition).orderBy(order)
-    before = F.coalesce(F.sum("hits").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    visited = counted.withColumn("before", before).withColumn("visited", F.col("before") < limit)
+    visited = sum_before(counted, [partition], F.col(order), [order], F.col("hits")).withColumn("visited", F.col("before") < limit)
     return visited.groupBy(partition).agg(
         F.count_if("visited").alias("pages_visited"),
         F.least(F.sum(F.when(F.col("visited"), F.col("hits")).otherwise(0)), F.lit(limit)).cast("bigint").alias("hits"),
@@ -61,6 +61,8 @@ def many(pages: DataFrame, needles: DataFrame, id_col: str, needle_id: str, need
 
     bound = F.transform(F.array(parts), lambda all_: F.array_distinct(F.concat(*[runs(all_, k) for k in sizes or [1]])))
     spots = page.select("page_id", F.explode(F.get(bound, F.lit(0))).alias("anchor"))
+    if anchor.count() <= ANCHORS:
+        anchor = F.broadcast(anchor)
     pairs = spots.join(anchor, "anchor").select("page_id", "needle").distinct()
     found = pairs.join(long.select("needle", "needle_text"), "needle").join(page, "page_id").where(F.contains("page_text", "needle_text"))
     out = found.select("page_id", "needle")
@@ -73,24 +75,22 @@ def many(pages: DataFrame, needles: DataFrame, id_col: str, needle_id: str, need
     return out.select(F.col("page_id").alias(id_col), F.col("needle").alias(needle_id))
 
 
-def word_hits(words: DataFrame, query: str, regex: bool = False) -> DataFrame:
-    """Hit rectangles on positioned words: (doc_id, page, hit, x0, y0, x1, y1), one for each line a match touches.
+def word_hits(words: DataFrame, query: str, regex: bool = False, in_order: bool = False) -> DataFrame:
+    """Hit rectangles on positioned words: (doc_id, page, hit, block, line, x0, y0, x1, y1), one for each line a match touches.
 
-    words has (doc_id, page, seq, block, line, text, x0, y0, x1, y1). Matches are Python's, found page by page; the
-    words they span come back by an interval join on the page, and a line's boxes are united.
+    Matches are Python's, found page by page, and a line's boxes are united; words and in_order as in ``by_page``.
     """
 
-    def spans(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
+    def fold(page: list[Box]) -> Iterator[tuple]:
         pattern = hit_pattern(query) if regex else literal_pattern(query)
-        page = page.sort_values("seq")
-        found = word_spans(page["text"].tolist(), pattern)
-        seq = page["seq"].tolist()
-        return pd.DataFrame([(*key, i, seq[a], seq[b - 1]) for i, (a, b) in enumerate(found) if a < len(seq)], columns=["doc_id", "page", "hit", "first", "last"])
-
-    kind = words.schema["doc_id"].dataType.simpleString()
-    ranges = words.groupBy("doc_id", "page").applyInPandas(spans, f"doc_id {kind}, page bigint, hit bigint, first bigint, last bigint")
-    joined = ranges.join(words, ["doc_id", "page"]).where((F.col("seq") >= F.col("first")) & (F.col("seq") <= F.col("last")))
-    return joined.groupBy("doc_id", "page", "hit", "block", "line").agg(*[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")])
+        for i, (a, b) in enumerate(word_spans([w.text for w in page], pattern)):
+            lines: dict[tuple[int, int], list[Box]] = {}
+            for w in page[a:b]:
+                lines.setdefault((w.block, w.line), []).append(w)
+            for key, boxes in lines.items():
+                yield i, *key, *united(boxes)
+
+    return by_page(words, fold, "hit bigint, block bigint, line bigint, x0 double, y0 double, x1 double, y1 double", in_order)
 
 
 def python_hits(pages: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

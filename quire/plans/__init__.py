@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from quire.plans import documents, files, pagesets, reports  # noqa: F401
+from quire.plans import documents, edits, files, pagesets, reports  # noqa: F401
 from quire.plans.catalog import QUERIES, SQL
 
 

@@ -21,30 +21,34 @@ def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.rendered(latin_pages(spark, sf_dir), "pdf")
 
 
+def form(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return pdf_tables.sound(pdf_tables.parse(pdf_files(spark, sf_dir), name))
+
+
 _SQUEEZED = "trim(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'))"
 
 
 @query(f"select conv_id doc_id, turn page, trim({_SQUEEZED}, chr(10)) as text from conversations")
 def pdf_text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = pdf_tables.parse(pdf_files(spark, sf_dir), "pages")
+    pages = form(spark, sf_dir, "pages")
     return pages.select(F.col("path").cast("bigint").alias("doc_id"), "page", "text")
 
 
 @query("select conv_id doc_id, count(*) page_count, false encrypted, false repaired, conv_id::varchar title from conversations group by conv_id")
 def pdf_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pdf_tables.parse(pdf_files(spark, sf_dir), "documents")
+    docs = form(spark, sf_dir, "documents")
     return docs.select(F.col("path").cast("bigint").alias("doc_id"), "page_count", "encrypted", "repaired", "title")
 
 
 @query("select conv_id doc_id, turn as ord, 1::bigint as level, 'Page ' || (turn + 1) title, turn + 1 page from conversations")
 def pdf_bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pdf_tables.parse(pdf_files(spark, sf_dir), "outline")
+    rows = form(spark, sf_dir, "outline")
     return rows.select(F.col("path").cast("bigint").alias("doc_id"), "ord", "level", "title", "page")
 
 
 @query("select conv_id doc_id, count(*) filter (length(text) >= 0) pages, 1::bigint fonts, count(*) * 2 + 3 + 1 + 1 + count(*) objects from conversations group by conv_id")
 def pdf_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pdf_tables.parse(pdf_files(spark, sf_dir), "objects")
+    rows = form(spark, sf_dir, "objects")
     kinds = rows.groupBy(F.col("path").cast("bigint").alias("doc_id"))
     return kinds.agg(F.count_if(F.col("type") == "Page").alias("pages"), F.count_if(F.col("type") == "Font").alias("fonts"), F.count("*").alias("objects"))
 
@@ -52,35 +56,56 @@ def pdf_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with w as (select conv_id, turn, unnest(regexp_extract_all(text, '[^ \\t\\n]+')) w from conversations)
   select conv_id doc_id, turn page, count(*) words, sum(length(w))::bigint chars from w group by conv_id, turn""")
 def pdf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pdf_tables.parse(pdf_files(spark, sf_dir), "words")
+    rows = form(spark, sf_dir, "words")
     return rows.groupBy(F.col("path").cast("bigint").alias("doc_id"), "page").agg(F.count("*").alias("words"), F.sum(F.length("text").cast("bigint")).alias("chars"))
 
 
-@query()
+#: The words of the written pages and their places: 11 point letters half as wide, lines 14 points apart from (72, 72) on.
+_PLACED = """with t as (select conv_id doc_id, turn page, string_split(replace(coalesce(text, ''), chr(9), ' '), chr(10)) ls from conversations),
+  l as (select doc_id, page, unnest(ls) line, generate_subscripts(ls, 1) - 1 i from t),
+  k as (select doc_id, page, i, unnest(string_split(line, ' ')) word, generate_subscripts(string_split(line, ' '), 1) k from l),
+  o as (select *, 72 + 5.5 * coalesce(sum(length(word) + 1) over (partition by doc_id, page, i order by k rows between unbounded preceding and 1 preceding), 0) x from k),
+  w as (select doc_id, page, dense_rank() over (partition by doc_id, page order by i) - 1 line, row_number() over (partition by doc_id, page order by i, k) - 1 seq, word as text,
+    x::double x0, (72 + 14 * i)::double - 0.8::double * 11 y0, (x + 5.5 * length(word))::double x1, (72 + 14 * i)::double + 0.2::double * 11 y1 from o where word <> '')"""
+#: Rectangles of the phrase ``of the``: one for each of the two words' lines.
+_OF_THE = f"""{_PLACED}, n as (select *, lead(seq) over u next, lead(text) over u after from w window u as (partition by doc_id, page order by seq)),
+  h as (select doc_id, page, seq a, next b, row_number() over (partition by doc_id, page order by seq) - 1 hit from n where text ilike '%of' and after ilike 'the%'),
+  r as (select h.doc_id, h.page, hit, 0::bigint block, line, min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1 from h join w on w.doc_id = h.doc_id and w.page = h.page and seq between a and b group by all)"""
+
+
+@query(f"{_PLACED} select doc_id, page, seq, line, text, x0, y0, x1, y1 from w")
+def pdf_word_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return form(spark, sf_dir, "words").select(F.col("path").cast("bigint").alias("doc_id"), "page", "seq", "line", "text", "x0", "y0", "x1", "y1")
+
+
+@query(f"{_OF_THE} select doc_id::varchar doc_id, page, hit, block, line, x0, y0, x1, y1 from r")
 def search_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.word_hits(pdf_tables.parse(pdf_files(spark, sf_dir), "words").withColumnRenamed("path", "doc_id"), "of the")
+    return search.word_hits(form(spark, sf_dir, "words").withColumnRenamed("path", "doc_id"), "of the", in_order=True)
 
 
-@query()
+@query(f"{_OF_THE} select doc_id::varchar doc_id, page, 'Highlight' subtype, x0, y0, x1, y1, [1.0, 1.0, 0.0]::double[] color from r")
 def annotate_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotations.marks(search_rects(spark, sf_dir), "Highlight")
 
 
-@query()
+@query(f"{_PLACED} select doc_id::varchar doc_id, page, count(*) words_left from w where not regexp_matches(text, '(?i)\\bthe\\b') group by all")
 def redact_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = pdf_tables.parse(pdf_files(spark, sf_dir), "words").withColumnRenamed("path", "doc_id")
-    kept = redact.redacted_words(words, search.word_hits(words, r"\bthe\b", regex=True))
+    words = form(spark, sf_dir, "words").withColumnRenamed("path", "doc_id")
+    kept = redact.redacted_words(words, search.word_hits(words, r"\bthe\b", regex=True, in_order=True))
     return kept.groupBy("doc_id", "page").agg(F.count("*").alias("words_left"))
 
 
-@query()
+_LINES = f"{_PLACED}, s as (select doc_id, page, line, string_agg(text, ' ' order by seq) as text, min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1 from w group by all)"
+
+
+@query(f"{_LINES} select doc_id::varchar doc_id, page, 1::bigint island, 0::bigint block, string_agg(text, chr(10) order by line) as text, min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1 from s group by doc_id, page")
 def page_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.passages(pdf_tables.parse(pdf_files(spark, sf_dir), "words").withColumnRenamed("path", "doc_id"))
+    return text.passages(form(spark, sf_dir, "words").withColumnRenamed("path", "doc_id"))
 
 
-@query()
+@query(f"{_LINES} select doc_id::varchar doc_id, page, line as seq, 1::bigint as column, text, round(x0, 2) x0, round(y0, 2) y0, round(x1, 2) x1, round(y1, 2) y1 from s")
 def layout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.layout_rows(pdf_tables.parse(pdf_files(spark, sf_dir), "words").withColumnRenamed("path", "doc_id"))
+    return layout.layout_rows(form(spark, sf_dir, "words").withColumnRenamed("path", "doc_id"), in_order=True)
 
 
 def grids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -222,10 +222,10 @@ def compare_exact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
   na as (select doc_id, sum(n) n from a group by 1), nb as (select item_id, sum(m) m from b group by 1),
   s as (select doc_id, item_id, sum(least(n, m)) s from a join b using (w) group by 1, 2),
   r as (select doc_id, item_id, s, 2 * s / (na.n + nb.m) r from s join na using (doc_id) join nb using (item_id))
-  select doc_id, item_id, s::bigint shared, floor(r * 10000 + 0.5)::bigint ratio4 from r
+  select doc_id, item_id, s::bigint shared, floor(r * 10000 + 0.5)::bigint ratio4 from r where r >= 0.3
   qualify row_number() over (partition by doc_id order by r desc, item_id) = 1""")
 def compare_quick_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = compare.quick_ratio(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    found = compare.quick_ratio(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", least=0.3)
     best = found.groupBy("doc_id").agg(F.max(F.struct("ratio", (-F.col("item_id")).alias("i"), "shared")).alias("b"))
     return best.select("doc_id", (-F.col("b.i")).alias("item_id"), F.col("b.shared").alias("shared"), F.floor(F.col("b.ratio") * 10000 + 0.5).cast("bigint").alias("ratio4"))
 

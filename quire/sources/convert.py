@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 import re
-import struct
-import zlib
 from typing import Any
 
+from quire.sources import pdf_edit
 from quire.sources.html import markdown_html, plain_text
-from quire.sources.pdf import Document, Name, Ref, Stream
-from quire.sources.pdf_write import assemble, file_bytes, text_pdf
+from quire.sources.pdf import Name, Ref, Stream
+from quire.sources.pdf_edit import Draft
+from quire.sources.pdf_write import file_bytes, image_object, text_pdf
 
-# Keys of active content, and of what carries files along.
-ACTIVE = {"JS", "JavaScript", "OpenAction", "AA"}
-CARRIED = {"EmbeddedFiles", "EF", "Metadata", "Thumb"}
 LINES_A_PAGE, COLUMNS = 45, 90
 
 
@@ -35,31 +32,14 @@ def from_markdown(text: str, title: str | None = None) -> bytes:
     return from_html(markdown_html(text), title)
 
 
-def jpeg_size(data: bytes) -> tuple[int, int, int]:
-    """(width, height, components) of a JPEG file."""
-    at = 2
-    while at + 9 < len(data):
-        marker, size = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
-        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            height, width, parts = struct.unpack(">HHB", data[at + 5 : at + 10])
-            return width, height, parts
-        at += 2 + size
-    raise ValueError("no JPEG image")
-
-
 def from_images(images: list[bytes]) -> bytes:
-    """A page for each JPEG image, or for each 8-bit grey PNM one, at its own size."""
+    """A page for each image, at its own size."""
     objects: list[Any] = [{"Type": Name("Catalog"), "Pages": Ref(2, 0)}, None]
     kids = []
     for data in images:
-        if m := re.match(rb"P5\s+(\d+)\s+(\d+)\s+255\s", data):
-            width, height, parts = int(m[1]), int(m[2]), 1
-            body, coding = zlib.compress(data[m.end() :]), "FlateDecode"
-        else:
-            (width, height, parts), body, coding = jpeg_size(data), data, "DCTDecode"
-        space = {1: "DeviceGray", 3: "DeviceRGB", 4: "DeviceCMYK"}[parts]
-        n = len(objects) + 1
-        objects.append(Stream({"Type": Name("XObject"), "Subtype": Name("Image"), "Width": width, "Height": height, "ColorSpace": Name(space), "BitsPerComponent": 8, "Filter": Name(coding)}, body))
+        image = image_object(data)
+        width, height, n = image.dict["Width"], image.dict["Height"], len(objects) + 1
+        objects.append(image)
         objects.append(Stream({}, b"q %d 0 0 %d 0 0 cm /I Do Q" % (width, height)))
         objects.append({"Type": Name("Page"), "Parent": Ref(2, 0), "MediaBox": [0, 0, width, height], "Resources": {"XObject": {"I": Ref(n, 0)}}, "Contents": Ref(n + 1, 0)})
         kids.append(Ref(n + 2, 0))
@@ -68,98 +48,35 @@ def from_images(images: list[bytes]) -> bytes:
 
 
 def repaired(data: bytes) -> bytes:
-    """The file's pages and information written anew."""
-    doc = Document(data)
-    return assemble([(doc, i) for i in range(len(doc.page_list()))], info={k.capitalize(): v for k, v in doc.info().items()})
+    """The file's pages, what its catalog carries and its information written anew."""
+    return Draft(data).save()
 
 
 def compressed(data: bytes) -> tuple[bytes, float]:
-    """The file written anew without what nothing reaches, or as it was if that is not smaller; and the ratio."""
-    new = repaired(data)
+    """The file written anew without what nothing reaches, its streams deflated, or as it was if that is not smaller; and the ratio."""
+    draft = Draft(data)
+    pdf_edit.compress(draft)
+    new = draft.save()
     kept = new if len(new) < len(data) else data
     return kept, round(len(kept) / max(len(data), 1), 3)
 
 
-def _objects(doc: Document) -> list[Any]:
-    """All objects renumbered from 1, the catalog first."""
-    order: list[int] = []
-
-    def visit(value: Any) -> None:
-        todo = [value]
-        while todo:
-            v = todo.pop()
-            if isinstance(v, Ref):
-                if v.num not in order_set:
-                    order_set.add(v.num)
-                    order.append(v.num)
-                    todo.append(doc.get(v))
-            elif isinstance(v, Stream):
-                todo.extend(v.dict.values())
-            elif isinstance(v, dict):
-                todo.extend(v.values())
-            elif isinstance(v, list):
-                todo.extend(v)
-
-    order_set: set[int] = set()
-    visit(doc.trailer.get("Root"))
-    new = {num: i for i, num in enumerate(order, 1)}
-
-    def moved(v: Any) -> Any:
-        if isinstance(v, Ref):
-            return Ref(new[v.num], 0) if v.num in new else None
-        if isinstance(v, Stream):
-            return Stream(moved({k: x for k, x in v.dict.items() if k != "Length"}), v.raw)
-        if isinstance(v, dict):
-            return {k: moved(x) for k, x in v.items()}
-        return [moved(x) for x in v] if isinstance(v, list) else v
-
-    return [moved(doc.get(Ref(num, 0))) for num in order]
-
-
 def sanitized(data: bytes) -> tuple[bytes, int]:
-    """The file without scripts, automatic actions, attached files, metadata streams and thumbnails, in any object;
-    and how many entries went."""
-    removed = 0
-
-    def clean(v: Any) -> Any:
-        nonlocal removed
-        if isinstance(v, Stream):
-            return Stream(clean(v.dict), v.raw)
-        if isinstance(v, dict):
-            if v.get("S") in ("JavaScript", "Launch"):
-                removed += 1
-                return {}
-            gone = [k for k in v if k in ACTIVE | CARRIED]
-            removed += len(gone)
-            return {k: clean(x) for k, x in v.items() if k not in gone}
-        return [clean(x) for x in v] if isinstance(v, list) else v
-
-    return file_bytes([clean(v) for v in _objects(Document(data))]), removed
+    """The file without scripts, automatic actions, attached files, metadata and thumbnails, and how many entries went."""
+    draft = Draft(data)
+    removed = pdf_edit.sanitize(draft)
+    return draft.save(), removed
 
 
 def with_attachment(data: bytes, name: str, content: bytes) -> bytes:
     """The file with one more attached file; a name that is taken is an error."""
-    doc = Document(data)
-    tree = doc.get(doc.root().get("Names"))
-    have = [k for k, _ in doc.named(tree.get("EmbeddedFiles"))] if isinstance(tree, dict) else []
-    if name in have:
-        raise ValueError(f"an attachment named {name} is there already")
-    objects = _objects(doc)
-    objects.append(Stream({"Type": Name("EmbeddedFile"), "Filter": Name("FlateDecode")}, zlib.compress(content)))
-    objects.append({"Type": Name("Filespec"), "F": name, "UF": name, "EF": {"F": Ref(len(objects), 0)}})
-    names = objects[0].get("Names")
-    names = objects[names.num - 1] if isinstance(names, Ref) else names if isinstance(names, dict) else {}
-    files = names.get("EmbeddedFiles")
-    files = objects[files.num - 1] if isinstance(files, Ref) else files if isinstance(files, dict) else {}
-    pairs = sorted([*zip(files.get("Names", [])[::2], files.get("Names", [])[1::2], strict=True), (name.encode("latin-1", "replace"), Ref(len(objects), 0))], key=lambda p: p[0])
-    objects[0] = objects[0] | {"Names": names | {"EmbeddedFiles": {"Names": [x for p in pairs for x in p]}}}
-    return file_bytes(objects)
+    draft = Draft(data)
+    pdf_edit.attach(draft, name, content)
+    return draft.save()
 
 
 def with_information(data: bytes, changes: dict[str, str]) -> bytes:
     """The file with information entries set; an empty text, none or null deletes one."""
-    doc = Document(data)
-    info = doc.info() | {k.lower(): v for k, v in changes.items()}
-    kept = {k.capitalize(): v for k, v in info.items() if v.lower() not in ("", "none", "null")}
-    objects = _objects(doc)
-    return file_bytes([*objects, dict(kept)], len(objects) + 1) if kept else file_bytes(objects)
+    draft = Draft(data)
+    pdf_edit.set_information(draft, changes)
+    return draft.save()

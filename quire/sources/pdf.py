@@ -11,6 +11,7 @@ Depths and sizes are bounded: page trees 64, references 32, nesting 256, a decod
 
 from __future__ import annotations
 
+import contextlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -271,8 +272,8 @@ def inflate(raw: bytes) -> bytes:
 class Document:
     """A file's objects; lazily parsed, newest entries first."""
 
-    def __init__(self, data: bytes) -> None:
-        self.data, self.cache, self.places, self.trailer, self.repaired = data, {}, {}, {}, False
+    def __init__(self, data: bytes, password: str = "") -> None:
+        self.data, self.cache, self.places, self.trailer, self.repaired, self.security = data, {}, {}, {}, False, None
         self.inside: dict[int, tuple[int, int]] = {}
         try:
             self._chain()
@@ -281,11 +282,22 @@ class Document:
         except (ValueError, TypeError, IndexError, KeyError, AttributeError, RecursionError):
             if "Encrypt" not in self.trailer or not self.places:
                 self._scan()
+        if self.encrypted:
+            from quire.sources.pdf_crypt import opened
+
+            with contextlib.suppress(ValueError, TypeError, IndexError, KeyError, AttributeError):
+                self.security = opened(self, password)
+            self.cache = {}
 
     @property
     def encrypted(self) -> bool:
         return "Encrypt" in self.trailer
 
+    @property
+    def locked(self) -> bool:
+        """Whether the password given does not open the file."""
+        return self.encrypted and self.security is None
+
     def _chain(self) -> None:
         at = self.data.rfind(b"startxref")
         m = re.match(rb"startxref\s+(\d+)", self.data[at : at + 40]) if at >= 0 else None
@@ -417,7 +429,7 @@ class Document:
                 found, value = self._object_at(place[0])
                 if found != num:
                     raise Damaged("another object stands there")
-                return value
+                return self.security.whole(value, num, place[1]) if self.security else value
             if num in self.inside:
                 container = self.get(Ref(self.inside[num][0], 0))
                 if isinstance(container, Stream):
@@ -537,6 +549,41 @@ class Document:
                 return None
         return None
 
+    def labels(self) -> list[str]:
+        """The label of each page after the catalog's rules; empty texts without them."""
+        rules: list[tuple[int, dict]] = []
+
+        def walk(node: Any, depth: int) -> None:
+            node = self.get(node)
+            if isinstance(node, dict) and depth < 64:
+                nums = self.get(node.get("Nums")) or []
+                rules.extend((int(self.get(k)), r) for k, v in zip(nums[::2], nums[1::2], strict=False) if isinstance(r := self.get(v), dict))
+                for kid in self.get(node.get("Kids")) or []:
+                    walk(kid, depth + 1)
+
+        walk(self.root().get("PageLabels"), 0)
+        rules.sort(key=lambda r: r[0])
+        out = []
+        for i in range(len(self.page_list())):
+            own = [r for r in rules if r[0] <= i]
+            out.append(self._label(own[-1][1], i - own[-1][0]) if own else "")
+        return out
+
+    def _label(self, rule: dict, at: int) -> str:
+        style, n = self.get(rule.get("S")), int(self.get(rule.get("St")) or 1) + at
+        number = ""
+        if style == "D":
+            number = str(n)
+        elif style in ("R", "r"):
+            rest = n
+            # Roman numerals.
+            for value, letters in ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")):
+                number += letters * (rest // value)
+                rest %= value
+        elif style in ("A", "a"):
+            number = chr(65 + (n - 1) % 26) * ((n - 1) // 26 + 1)
+        return self.text(rule.get("P")) + (number.lower() if style in ("r", "a") else number)
+
     def destinations(self) -> dict[str, Any]:
         old = self.get(self.root().get("Dests"))
         found = dict(old) if isinstance(old, dict) else {}
@@ -580,6 +627,18 @@ class Font:
                     start = text(c)
                     self.map[int(a, 16) + i] = start[:-1] + chr(ord(start[-1]) + i) if start else ""
 
+    def spell(self, text: str) -> bytes:
+        """The bytes that show a text; a blank that the font lacks is left out, any other letter is an error."""
+        back, out = {v: k for k, v in self.map.items()}, b""
+        for c in text:
+            if c in back:
+                out += back[c].to_bytes(2 if self.wide else 1, "big")
+            elif not self.wide:
+                out += c.encode("cp1252")
+            elif c != " ":
+                raise ValueError(f"the font lacks {c!r}")
+        return out
+
     def codes(self, raw: bytes) -> Iterator[tuple[str, float]]:
         """(text, width in text units) of each code."""
         step = 2 if self.wide else 1
@@ -690,7 +749,9 @@ def page_words(doc: Document, page: dict) -> list[list[Word]]:
                 if isinstance(form, Stream) and form.dict.get("Subtype") == "Form":
                     matrix = [float(doc.get(v)) for v in doc.get(form.dict.get("Matrix")) or [1, 0, 0, 1, 0, 0]]
                     inner = doc.get(form.dict.get("Resources"))
+                    flush()  # no word goes on from one form into another
                     interpret(doc.decoded(form), inner if isinstance(inner, dict) else resources, _multiply(matrix, state["ctm"]), depth + 1)
+                    flush()
             elif op == b"BI":
                 end = re.compile(rb"\sEI(?=[\s])").search(lexer.data, lexer.at)
                 lexer.at = end.end() if end else len(lexer.data)

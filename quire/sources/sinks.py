@@ -45,7 +45,7 @@ def column_name(i: int) -> str:
 
 
 def xlsx(sheets: dict[str, list[list[str | None]]]) -> bytes:
-    """A workbook with a sheet of texts for each grid; texts are cut at the cell limit, control characters refused."""
+    """A workbook with a sheet of texts for each grid; texts are cut at the cell limit (``cut_cells`` tells how many), control characters refused."""
     kind = "application/vnd.openxmlformats-officedocument.spreadsheetml."
     space = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -59,7 +59,7 @@ def xlsx(sheets: dict[str, list[list[str | None]]]) -> bytes:
             cells = "".join(f'<c r="{column_name(j)}{i}" t="inlineStr"><is><t xml:space="preserve">{escape(c[:CELL_LIMIT])}</t></is></c>' for j, c in enumerate(row) if c is not None)
             rows.append(f'<row r="{i}">{cells}</row>')
         parts[f"xl/worksheets/sheet{n}.xml"] = (kind + "worksheet+xml", f'<worksheet xmlns="{space}"><sheetData>{"".join(rows)}</sheetData></worksheet>')
-    listed = "".join(f'<sheet name="{escape(name[:31])}" sheetId="{n}" r:id="s{n}"/>' for n, name in enumerate(sheets, 1))
+    listed = "".join(f'<sheet name="{escape(name)}" sheetId="{n}" r:id="s{n}"/>' for n, name in enumerate(sheet_names(list(sheets)), 1))
     parts["xl/workbook.xml"] = (kind + "sheet.main+xml", f'<workbook xmlns="{space}" xmlns:r="{rel}"><sheets>{listed}</sheets></workbook>')
     links = "".join(f'<Relationship Id="s{n}" Type="{rel}/worksheet" Target="worksheets/sheet{n}.xml"/>' for n in range(1, len(sheets) + 1))
     files = _package(parts, "xl/workbook.xml")
@@ -67,6 +67,34 @@ def xlsx(sheets: dict[str, list[list[str | None]]]) -> bytes:
     return _zip(files)
 
 
+def cut_cells(grid: list[list[str | None]]) -> int:
+    """How many cells of a grid a workbook would cut."""
+    return sum(len(c or "") > CELL_LIMIT for row in grid for c in row)
+
+
+def sheet_names(names: list[str]) -> list[str]:
+    """Names of at most 31 characters that all differ."""
+    out: list[str] = []
+    for name in names:
+        new, n = name[:31], 1
+        while new.lower() in {x.lower() for x in out}:
+            n += 1
+            new = f"{name[: 30 - len(str(n))]}~{n}"
+        out.append(new)
+    return out
+
+
+def unpacked(files: DataFrame, member: str) -> DataFrame:
+    """(path, xml): one part of each package as text."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            texts = [zipfile.ZipFile(io.BytesIO(c)).read(member).decode() for c in batch["content"]]
+            yield pd.DataFrame({"path": batch["path"], "xml": texts})
+
+    return files.where("content is not null").select("path", "content").mapInPandas(run, "path string, xml string")
+
+
 def docx(pages: list[str]) -> bytes:
     """A text document: a paragraph a line, pages on pages of their own."""
     space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"

@@ -30,6 +30,13 @@ def test_hit_patterns():
     assert py.hit_pattern("[a b]c").findall("ac bc  c") == ["ac", "bc", " c"]
     assert py.hit_pattern("(?<=x )y").findall("x y x\ny") == ["y"]
     assert py.hit_pattern("ﬁnal").findall("FINAL") == ["FINAL"]
+    assert py.hit_pattern("[^] ]x").findall("] x ax") == ["ax"]
+    assert py.hit_pattern("(?#a b)c d").findall("c\td") == ["c\td"]
+    assert py.hit_pattern(r"\N{LATIN SMALL LETTER A} b").findall("a\nb") == ["a\nb"]
+    assert py.hit_pattern("(?x) a b").findall("ab a b") == ["ab"] and py.hit_pattern("(?i-x:a b)").findall("A\nb") == ["A\nb"]
+    assert py.hit_pattern("(?<=(?:x y)) z").findall("x y\nz x\ny z") == ["\nz"]
+    assert py.hit_pattern(r"a\ b").findall("a b a\tb") == ["a b"]
+    assert py.hit_pattern("[[] a").findall("[\na") == ["[\na"]
     assert py.literal_pattern("  ") is None and py.literal_pattern("a.b c").search("A.B\tC")
 
 

@@ -1,9 +1,9 @@
 """Behaviours of the operators on small inputs with known results."""
 
-import pandas as pd
 import pytest
 
 from quire.operators import annotations, compare, intervals, layout, outline, pages, search, text, transcript
+from quire.operators.paged import Box
 
 
 def paged(spark, texts, doc="d"):
@@ -105,9 +105,8 @@ def test_clusters_are_lag_based_and_merges_use_the_greatest_end(spark):
 
 
 def test_rows_follow_the_first_word_not_the_last():
-    w = pd.DataFrame([("a", 0, 0.0), ("b", 10, 2.5), ("c", 20, 5.0)], columns=["text", "x0", "y0"])
-    w["x1"], w["y1"] = w["x0"] + 5, w["y0"] + 10
-    assert [list(r["text"]) for r in layout.anchored(w)] == [["a", "b"], ["c"]]
+    w = [Box(i, 0, 0, t, x, y, x + 5, y + 10) for i, (t, x, y) in enumerate([("a", 0, 0.0), ("b", 10, 2.5), ("c", 20, 5.0)])]
+    assert [[b.text for b in r] for r in layout.anchored(w)] == [["a", "b"], ["c"]]
 
 
 def test_reading_order_of_two_columns():
@@ -115,9 +114,8 @@ def test_reading_order_of_two_columns():
     for i in range(3):
         rows += [(f"L{i}", 40.0, 100.0 + 20 * i, 90.0), (f"R{i}", 350.0, 100.0 + 20 * i, 400.0)]
     rows += [(w, 40 + 60.0 * i, 130.0, 95 + 60.0 * i) for i, w in enumerate(["A", "wide", "line", "across", "the", "page", "here", "x"])]
-    w = pd.DataFrame(rows, columns=["text", "x0", "y0", "x1"])
-    w["y1"] = w["y0"] + 10
-    assert [r["text"] for r in layout.reading_order(w, 612)] == ["L0", "L1", "R0", "R1", "A wide line across the page here x", "L2", "R2"]
+    w = [Box(i, 0, 0, t, x0, y0, x1, y0 + 10) for i, (t, x0, y0, x1) in enumerate(rows)]
+    assert [r[1] for r in layout.reading_order(w, 612)] == ["L0", "L1", "R0", "R1", "A wide line across the page here x", "L2", "R2"]
 
 
 def test_ruled_table(spark):

@@ -1,12 +1,14 @@
 """PDF, HTML, Markdown, sinks and streams."""
 
 import io
+import re
 import zipfile
 
 import pytest
 
-from quire.sources import html, pdf, pdf_tables, sinks
-from quire.sources.pdf_write import assemble, file_bytes, text_pdf
+from quire.sources import html, pdf, pdf_crypt, pdf_edit, pdf_tables, sinks
+from quire.sources.pdf_edit import Draft
+from quire.sources.pdf_write import file_bytes, text_pdf
 
 
 def made():
@@ -19,7 +21,7 @@ def test_text_and_reports():
     assert rows("documents")[0][2:6] == (3, False, False, "Tést")
     assert [(r[2], r[3], r[4]) for r in rows("outline")] == [(1, "a", 1), (1, "b", 2), (1, "c", 3)]
     assert [r[5] for r in rows("words")][:3] == ["Account:", "123", "café"]
-    assert rows("fonts") == [("x", 3, "Helvetica", "Type1")]
+    assert rows("fonts") == [("x", 3, "Helvetica", "Type1", None)]
 
 
 @pytest.mark.parametrize("spoil", [lambda b: b.replace(b"startxref", b"startxxxx"), lambda b: b.replace(b"xref\n0", b"xxxx\n0"), lambda b: b"junk\n" + b, lambda b: b[: b.rindex(b"xref\n0")]])
@@ -30,8 +32,57 @@ def test_damaged_files_are_read_by_scanning(spoil):
 
 
 def test_hopeless_files_give_an_error_row():
-    assert pdf_tables.rows_of("documents", "x", b"no pdf")[0][2] == 0
-    assert pdf_tables.rows_of("pages", "x", b"no pdf") == []
+    for form in pdf_tables.SCHEMAS:
+        rows = pdf_tables.rows_of(form, "x", b"no pdf")
+        if form in ("documents", "preflight"):
+            assert rows and rows[0][0] == "x"
+        assert len(rows) <= 1 and all(len(r) == pdf_tables.schema_of(form).count(", ") + 1 for r in rows)
+    broken = text_pdf(["a"]).replace(b"/Contents", b"/Rotate /No /Contents")
+    row = pdf_tables.rows_of("pages", "x", broken)
+    assert len(row) == 1 and row[0][1] is None and row[0][-1].startswith("ValueError")
+
+
+def test_letters_of_all_scripts_come_back():
+    pages = ["Привет мир", "日本語 text\nplain \x81", "a😀b é", "plain"]
+    assert [r[5] for r in pdf_tables.rows_of("pages", "x", text_pdf(pages))] == ["Привет мир", "日本語 text\nplain \x81", "a😀b é", "plain"]
+
+
+@pytest.mark.parametrize("method", ["rc4", "aes128", "aes256"])
+def test_protected_files(method):
+    data = Draft(made()).save(user="ü" if method != "rc4" else "u", owner="own", allow=("print",), method=method)
+    assert pdf_tables.rows_of("documents", "x", data)[0][3] and pdf_tables.rows_of("documents", "x", data)[0][-1]
+    assert [r[-1] for r in pdf_tables.rows_of("pages", "x", data, "wrong")] == ["ValueError: the file is encrypted and the password does not open it"]
+    for word in ("ü" if method != "rc4" else "u", "own"):
+        assert [r[5] for r in pdf_tables.rows_of("pages", "x", data, word)] == ["Account: 123\ncafé is (open)", "two words", ""]
+        info = pdf_tables.rows_of("documents", "x", data, word)[0]
+        assert info[5] == "Tést" and [k for k, v in info[7].items() if v] == ["print"]
+    assert b"Account" not in data and pdf_tables.rows_of("pages", "x", Draft(data, "own").save()) == pdf_tables.rows_of("pages", "x", made())
+    open_ = Draft(made()).save(owner="own", method=method)
+    assert pdf_tables.rows_of("pages", "x", open_)[0][5] == "Account: 123\ncafé is (open)"
+
+
+def test_ciphers_against_published_vectors():
+    key = bytes(range(32))
+    assert pdf_crypt.Aes(key[:16]).block(bytes.fromhex("00112233445566778899aabbccddeeff")).hex() == "69c4e0d86a7b0430d8cdb78070b4c55a"
+    assert pdf_crypt.Aes(key).block(bytes.fromhex("00112233445566778899aabbccddeeff")).hex() == "8ea2b7ca516745bfeafc49904b496089"
+    assert pdf_crypt.Aes(key).unblock(bytes.fromhex("8ea2b7ca516745bfeafc49904b496089")).hex() == "00112233445566778899aabbccddeeff"
+    assert pdf_crypt.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
+
+
+def test_what_is_removed_is_in_no_byte():
+    import zlib
+
+    draft = Draft(made())
+    pdf_edit.delete(draft, "1")
+    data = draft.save()
+    assert len(pdf_tables.rows_of("pages", "x", data)) == 2
+    streams = [zlib.decompress(s.raw) for s in (pdf.Document(data).get(pdf.Ref(i, 0)) for i in range(1, 30)) if isinstance(s, pdf.Stream)]
+    assert not any(b"Account".hex().encode() in s for s in streams)
+    draft = Draft(text_pdf(["a secret word", "Привет мир"]))
+    assert pdf_edit.rewrite_text(draft, re.compile("secret|мир")) == 2
+    assert [r[5] for r in pdf_tables.rows_of("pages", "x", draft.save())] == ["a word", "Привет"]
+    with pytest.raises(ValueError, match="no page"):
+        pdf_edit.delete(Draft(made()), "1-3")
 
 
 def test_newest_entry_wins():
@@ -39,7 +90,7 @@ def test_newest_entry_wins():
     start = len(data)
     new = b"3 0 obj\n<</Type /Font /Subtype /TrueType /BaseFont /New>>\nendobj\n"
     more = data + new + b"xref\n3 1\n%010d 00000 n \ntrailer\n<</Size 20 /Root 1 0 R /Prev %d>>\nstartxref\n%d\n%%%%EOF\n" % (start, int(data.split(b"startxref\n")[1].split(b"\n")[0]), start + len(new))
-    assert pdf_tables.rows_of("fonts", "x", more) == [("x", 3, "New", "TrueType")]
+    assert pdf_tables.rows_of("fonts", "x", more) == [("x", 3, "New", "TrueType", None)]
 
 
 def test_object_streams_and_xref_streams():
@@ -72,11 +123,15 @@ def test_filters():
 
 
 def test_assembled_files():
-    d = pdf.Document(made())
-    new = assemble([(d, 1), (d, 0), (d, 1)], rotate={1: 90}, info={"Title": "n"}, stamp="DRAFT")
+    d = Draft(made())
+    pdf_edit.extract(d, "2,1,2")
+    pdf_edit.rotate(d, 90, "2")
+    pdf_edit.stamp(d, lambda i, n: "DRAFT")
+    d.info = {"Title": "n"}
+    new = d.save()
     rows = pdf_tables.rows_of("pages", "y", new)
     assert [(r[4], r[5]) for r in rows] == [(0, "two words\nDRAFT"), (90, "Account: 123\ncafé is (open)\nDRAFT"), (0, "two words\nDRAFT")]
-    assert pdf_tables.rows_of("documents", "y", new)[0][5] == "n" and pdf_tables.rows_of("outline", "y", new) == []
+    assert pdf_tables.rows_of("documents", "y", new)[0][5] == "n"
 
 
 def test_links_and_fields():
@@ -91,7 +146,7 @@ def test_links_and_fields():
     data = file_bytes(objects)
     links = pdf_tables.rows_of("links", "x", data)
     assert [(r[3:7], r[7], r[8]) for r in links] == [((10.0, 50.0, 20.0, 70.0), "http://x", None), ((-10.0, 89.0, -9.0, 90.0), None, 0)]
-    assert pdf_tables.rows_of("widgets", "x", data) == [("x", 0, "person.name", "name", "text", "Ann")]
+    assert pdf_tables.rows_of("widgets", "x", data) == [("x", 0, "person.name", "name", "text", "Ann", None, None)]
     assert [r[3] for r in pdf_tables.rows_of("annotations", "x", data)] == ["Link", "Link", "Text"]
 
 
