@@ -436,12 +436,14 @@ def judge(
     sound = scored.where("not base_failed and chars > 0").select("lang", "chars", *PPL).distinct()
     quarter = lambda c, grid, at: F.percentile(F.floor(c * grid) / grid, at)
     middle = sound.groupBy(F.col("lang").alias("of")).agg(quarter(F.col("log_ppl"), PPL_GRID, [0.5, 0.75]).alias("m"), quarter(F.col("low_ppl"), PPL_GRID, 0.5).alias("low"))
+    middle = small_side(written(middle, "middle"))  # a row a language
     away = [quarter((F.col(x) - m) * root, Z_GRID, [0.25, 0.75]).alias(f"q_{x}") for x, m in zip(PPL, (F.col("m")[0], F.col("low")), strict=True)]
     spread = sound.join(middle, F.col("lang") == F.col("of")).groupBy("of", "m", "low").agg(*away)
     half = F.col("q_log_ppl")[1], -F.col("q_low_ppl")[0]  # the quartile on the band's side of the median
+    spread = written(spread, "spread")
     reach = [2 * width * F.greatest(x, F.lit(LEAST_SPREAD / 2)) for x in half]
     bands = spread.select(F.col("of").alias("band"), F.col("m")[1].alias("high"), "low", reach[0].alias("over"), reach[1].alias("under"))
     inside = (F.col("low_ppl") >= F.col("low") - F.col("under") / root - slack) & (F.col("log_ppl") <= F.col("high") + F.col("over") / root + slack)
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
     lang = F.when(F.col("lang") != "", F.substring("lang", 2, 1 << 30)).cast(kind)
-    return scored.join(bands, F.col("lang") == F.col("band"), "left").withColumns({"kept": kept, "lang": lang}).drop("band", "high", "low", "over", "under")
+    return scored.join(small_side(bands), F.col("lang") == F.col("band"), "left").withColumns({"kept": kept, "lang": lang}).drop("band", "high", "low", "over", "under")
