@@ -33,6 +33,8 @@ from quire.llm.scratch import new_path, written
 VERSION = b"WARC/1.1"
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BATCH_BYTES = 8 << 20
+# Bytes of a file at most, before compression; transactions of a file at most; bytes of a transaction besides its payload.
+FILE_BYTES, MOST_IN_FILE, HEADERS_BYTES = 128 << 20, 1000, 2048
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -57,9 +59,15 @@ def record(kind: bytes, fields: list[tuple[bytes, bytes]], block: bytes) -> byte
     return member[:-1] if member[-1] == 0 else member + zlib.compress(b"", 6, 31)[:-1]
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = 0, date: str = "1970-01-01T00:00:00Z", records_per_file: int = 3000) -> None:
-    """Write each row's transaction; equal payloads of at least ``least_revisit`` bytes are stored once."""
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = 0, date: str = "1970-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
+    """Write each row's transaction; equal payloads of at least ``least_revisit`` bytes are stored once.
+
+    A file takes as many transactions as fit ``file_bytes`` if all payloads are as large as the largest, so that it can be
+    read back whole; one that does not fit has a file of its own.
+    """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
+    largest = rows.agg(F.max(F.length("payload"))).first()[0] or 0
+    each = max(1, min(MOST_IN_FILE, file_bytes // (largest + HEADERS_BYTES)))
     rows = rows.withColumn("digest", F.sha1("payload"))
     same = rows.where(F.col("id").isNotNull() & (F.length("payload") >= least_revisit)).groupBy("digest")
     same = same.agg(F.min(F.struct("id", "url")).alias("first"), F.max("id").alias("last")).where("first.id < last")
@@ -104,7 +112,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     records = marked.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
+    records.write.option("lineSep", "\0").option("maxRecordsPerFile", 3 * each).text(path)
 
 
 RECORD = (
