@@ -12,7 +12,8 @@ learned by heart. The class prior is the share of label 1 among the labelled tra
 
 Training reads at most ``most_positive`` and about ``most_unlabelled`` texts, drawn by a hash of the id (those two
 bounds are documented parameters); scoring reads every whole text. A null or empty text is scored by the
-intercept. Without a positive every score is 0. Repeated rows score alike; labels that are null count as none.
+intercept. Without a positive every score is 0. Repeated rows score alike; labels that are null count as none, and of
+several labels of an id the greatest counts. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -63,31 +64,65 @@ def matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(places)
 
 
+class Sums:
+    """Sums of a 0/1 matrix, given as (row, column) pairs, with a vector on either side."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, rows: int, columns: int) -> None:
+        self.shape = rows, columns
+        self.sides = []
+        for own, other, n in ((row, column, rows), (column, row, columns)):
+            order = np.argsort(own, kind="stable")
+            own = own[order]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+            self.sides.append((other[order], first, own[first], n))
+
+    def _of(self, side: int, x: np.ndarray) -> np.ndarray:
+        other, first, own, n = self.sides[side]
+        out = np.zeros(n)
+        if len(first):
+            out[own] = np.add.reduceat(x[other], first)
+        return out
+
+    def by_row(self, x: np.ndarray) -> np.ndarray:
+        return self._of(0, x)
+
+    def by_column(self, x: np.ndarray) -> np.ndarray:
+        return self._of(1, x)
+
+
+def risk_slope(g: np.ndarray, p: int, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of margins g, of which the first p are positive texts', and the slope of the step."""
+    n = len(g)
+    rising = 1 / (1 + np.exp(-np.clip(g, -30, 30)))  # derivative of l(-g)
+    loss = np.logaddexp(0, g)
+    rest = loss[p:].mean() - prior * loss[:p].mean()
+    slope = np.zeros(n)
+    if rest >= 0:
+        slope[p:] = rising[p:] / (n - p)
+        slope[:p] = -prior / p  # of l(g) and of -l(-g) together
+    else:
+        slope[p:] = -rising[p:] / (n - p)
+        slope[:p] = prior * rising[:p] / p
+    return prior * np.logaddexp(0, -g[:p]).mean() + max(0.0, rest), slope
+
+
 def _descend(row: np.ndarray, column: np.ndarray, size: int, n: int, p: int, prior: float, steps: int, penalty: float) -> tuple[np.ndarray, float]:
     """Accelerated proximal gradient (FISTA) on the non-negative risk of n texts, of which the first p are positive."""
+    sums = Sums(row, column, n, size)
     share = np.zeros(n)
     share[p:] = 1 / (n - p)
     probe = np.ones(size + 1)
     for _ in range(15):  # the largest curvature, by power iteration
-        g = (probe[-1] + np.bincount(row, probe[column], n)) * share
-        probe = np.append(np.bincount(column, g[row], size), g.sum())
+        g = (probe[-1] + sums.by_row(probe[:-1])) * share
+        probe = np.append(sums.by_column(g), g.sum())
         curvature = np.linalg.norm(probe)
         probe /= max(curvature, 1e-12)
     rate = 4 / max(curvature, 1e-12)
     w, b = np.zeros(size), float(np.log(prior / max(1 - prior, 1e-6)))
     at_w, at_b, pace = w, b, 1.0
     for _ in range(steps):
-        g = at_b + np.bincount(row, at_w[column], n)
-        rising = 1 / (1 + np.exp(-np.clip(g, -30, 30)))  # derivative of l(-g)
-        loss = np.logaddexp(0, g)
-        slope = np.zeros(n)
-        if loss[p:].mean() >= prior * loss[:p].mean():
-            slope[p:] = rising[p:] / (n - p)
-            slope[:p] = -prior / p  # of l(g) and of -l(-g) together
-        else:
-            slope[p:] = -rising[p:] / (n - p)
-            slope[:p] = prior * rising[:p] / p
-        new_w = at_w - rate * np.bincount(column, slope[row], size)
+        _, slope = risk_slope(at_b + sums.by_row(at_w), p, prior)
+        new_w = at_w - rate * sums.by_column(slope)
         new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - rate * penalty, 0)
         new_b = at_b - rate * slope.sum()
         next_pace = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
@@ -136,9 +171,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     if not toxic:
         return fit([], [], 0)
     chosen = own.where("toxic = 1").select(F.col(id_col).alias("chosen")).orderBy(F.xxhash64("chosen"), "chosen").limit(most_positive)
-    positive = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("chosen")).select(text_col).limit(2 * most_positive)
+    positive = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("chosen")).select(text_col, F.xxhash64("chosen", text_col).alias("part")).orderBy("part", text_col).limit(2 * most_positive)
     rows = docs.count()
-    drawn = docs.where(part < min(1.0, most_unlabelled / max(rows, 1))).select(text_col, part.alias("part")).orderBy("part").limit(2 * most_unlabelled)
+    drawn = docs.where(part < min(1.0, most_unlabelled / max(rows, 1))).select(text_col, part.alias("part")).orderBy("part", text_col).limit(2 * most_unlabelled)
     texts = lambda df: sorted((r[0] or "") for r in df.collect())
     return fit(texts(positive), texts(drawn), toxic / labelled)
 
