@@ -4,14 +4,15 @@ Tokens are runs of word characters in lower case, so case and punctuation do not
 benchmark items' windows of ``least`` tokens (an item with fewer is one seed). A document's windows are rolled over
 with a Karp-Rabin hash and joined to the seeds; equal ones, confirmed token by token through exact token numbers,
 line up on diagonals into maximal matches. Tiling then marks the longest match, cuts the others where they overlap
-what is marked, and goes on until none of at least ``least`` tokens is left. Each token lies in one tile at most,
+what is marked, and goes on until none of at least ``least`` tokens is left; of equally long matches the one that starts
+first in the item, then first in the document, is marked. Each token lies in one tile at most,
 and the order of tiles is free, so passages whose sentences were moved about are caught as well. A document is
 contaminated by an item if its tiles cover ``coverage`` of the item's tokens or more.
 
 Items are taken in blocks of at most ``BLOCK_TOKENS`` tokens (a bound on what each worker gets; an item is never
 cut) and every block meets all documents in a scan without a shuffle, so a passage in a third of all rows is no
-hot key. Null or empty texts match nothing; a repeated document row is reported once for each copy, a repeated
-benchmark row once.
+hot key. Null or empty texts match nothing, so an empty table gives an empty result; whole texts are read, however long;
+a repeated document row is reported once for each copy, a repeated benchmark row once.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 TOKEN = re.compile(r"\w+")
 BLOCK_TOKENS = 2_000_000
@@ -167,7 +169,7 @@ def contaminated(
     """(id_col, item_col, covered, item_tokens, n_tiles, coverage), a row for each document and item it leaks."""
     id_kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"`{id_col}` {id_kind}, `{item_col}` {item_kind}, covered bigint, item_tokens bigint, n_tiles bigint, coverage double"
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(item_kind)
+    key_type = to_arrow_type(benchmark.schema[item_col].dataType)
 
     def scan(block: list[tuple[int, list[str]]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
