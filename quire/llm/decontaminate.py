@@ -9,9 +9,13 @@ first in the item, then first in the document, is marked. Each token lies in one
 and the order of tiles is free, so passages whose sentences were moved about are caught as well. A document is
 contaminated by an item if its tiles cover ``coverage`` of the item's tokens or more.
 
-Items are taken in blocks of at most ``BLOCK_TOKENS`` tokens (a bound on what each worker gets; an item is never
-cut) and every block meets all documents in a scan without a shuffle, so a passage in a third of all rows is no
-hot key. Null or empty texts match nothing, so an empty table gives an empty result; whole texts are read, however long;
+Up to ``BLOCK_TOKENS`` tokens of items go to every worker, and documents are tiled in one scan without a shuffle, so
+a passage in a third of all rows is no hot key. More items stay tables: the seeds of both sides are joined, and only
+documents and items that share one meet, to be tiled pair by pair. To cover a share c of an item's n tokens takes
+ceil(c n / k) of its windows of k tokens at least, so an item is filed under all windows but as many less one, the most
+frequent among items: boilerplate of many items brings no pairs about. Both ways give the same rows.
+
+Null or empty texts match nothing, so an empty table gives an empty result; whole texts are read, however long;
 a repeated document row is reported once for each copy, a repeated benchmark row once.
 """
 
@@ -23,10 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quire.llm.scratch import written
+
 TOKEN = re.compile(r"\w+")
 BLOCK_TOKENS = 2_000_000
 LEAST = 5
@@ -141,19 +149,17 @@ def matches(text: str | None, seeds: Seeds, coverage: float) -> Iterator[tuple[i
                 yield int(item[a]), covered, len(own), len(tiles)
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, list[str]]]]:
-    """The benchmark's distinct rows, a bounded number of tokens at a time."""
-    block, size = [], 0
-    for row in benchmark.select(item_col, text_col).where(F.col(text_col).isNotNull()).distinct().toLocalIterator():
-        words = tokens(row[1])
-        if not words:
-            continue
-        if block and size + len(words) > BLOCK_TOKENS:
-            yield block
-            block, size = [], 0
-        block.append((row[0], words))
-        size += len(words)
-    yield block
+def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(item, text, n) of the benchmark's distinct rows with tokens; n is their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = pa.array([len(tokens(x)) for x in batch["text"].to_pylist()], pa.int64())
+            full = pa.RecordBatch.from_arrays([*batch.columns, n], names=["item", "text", "n"])
+            yield full.filter(pc.greater(n, 0))
+
+    rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("text is not null").distinct()
+    return rows.mapInArrow(run, f"item {benchmark.schema[item_col].dataType.simpleString()}, text string, n bigint")
 
 
 def contaminated(
@@ -167,27 +173,97 @@ def contaminated(
     coverage: float = COVERAGE,
 ) -> DataFrame:
     """(id_col, item_col, covered, item_tokens, n_tiles, coverage), a row for each document and item it leaks."""
-    id_kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_kind}, `{item_col}` {item_kind}, covered bigint, item_tokens bigint, n_tiles bigint, coverage double"
-    key_type = to_arrow_type(benchmark.schema[item_col].dataType)
-
-    def scan(block: list[tuple[int, list[str]]]) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seeds = Seeds(block, least)
-            for batch in batches:
-                row, found = [], []
-                for i, raw in enumerate(batch.column(1).cast(pa.large_binary())):
-                    for hit in matches((raw.as_py() or b"").decode("utf-8", "replace"), seeds, coverage):
-                        row.append(i)
-                        found.append(hit)
-                columns = [pa.array([x[j] for x in found], pa.int64()) for j in (1, 2, 3)]
-                share = pa.array([x[1] / x[2] for x in found], pa.float64())
-                items = pa.array([seeds.keys[x[0]] for x in found], key_type)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), items, *columns, share], names=[id_col, item_col, "covered", "item_tokens", "n_tiles", "coverage"])
-
-        return docs.select(id_col, text_col).mapInArrow(run, schema)
-
-    out = None
-    for block in blocks(benchmark, item_col, item_text_col):
-        out = scan(block) if out is None else out.unionByName(scan(block))
-    return out
+    items = written(items_of(benchmark, item_col, item_text_col), "items")
+    size = items.agg(F.sum("n")).first()[0] or 0
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = _scanned(rows, items, least, coverage) if size <= BLOCK_TOKENS else _joined(rows, items, least, coverage)
+    return found.withColumnsRenamed({"id": id_col, "item": item_col})
+
+
+def _schema(rows: DataFrame, items: DataFrame) -> str:
+    kinds = (rows.schema["id"].dataType.simpleString(), items.schema["item"].dataType.simpleString())
+    return "id {}, item {}, covered bigint, item_tokens bigint, n_tiles bigint, coverage double".format(*kinds)
+
+
+def _batch(ids: pa.Array, rows: list[int], items: pa.Array, hits: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    columns = [pa.array([x[j] for x in hits], pa.int64()) for j in (1, 2, 3)]
+    share = pa.array([x[1] / x[2] for x in hits], pa.float64())
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), items, *columns, share], names=["id", "item", "covered", "item_tokens", "n_tiles", "coverage"])
+
+
+def _text(value: pa.Scalar) -> str:
+    return (value.as_py() or b"").decode("utf-8", "replace")
+
+
+def _scanned(rows: DataFrame, items: DataFrame, least: int, coverage: float) -> DataFrame:
+    """All items at every worker."""
+    block = [(r[0], tokens(r[1])) for r in items.select("item", "text").collect()]
+    key_type = to_arrow_type(items.schema["item"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = Seeds(block, least)
+        for batch in batches:
+            at, found = [], []
+            for i, raw in enumerate(batch.column(1).cast(pa.large_binary())):
+                for hit in matches(_text(raw), seeds, coverage):
+                    at.append(i)
+                    found.append(hit)
+            yield _batch(batch.column(0), at, pa.array([seeds.keys[x[0]] for x in found], key_type), found)
+
+    return rows.mapInArrow(run, _schema(rows, items))
+
+
+def window_hashes(words: list[str], k: int) -> np.ndarray:
+    """The rolled hash of each window of k tokens, alike in every process."""
+    return rolled(np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64), k)
+
+
+def _windows(rows: DataFrame, keys: list[str], sizes: list[int] | None, least: int, distinct: bool) -> DataFrame:
+    """(keys, k, h) of the windows of each text: of k tokens for the given sizes, or of as many as the item's own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, size, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for i, raw in enumerate(batch["text"].cast(pa.large_binary())):
+                words = tokens(_text(raw))
+                for k in sizes or [min(least, len(words))]:
+                    h = window_hashes(words, k) if k <= len(words) else np.zeros(0, np.uint64)
+                    h = np.unique(h) if distinct else h
+                    at.append(np.full(len(h), i))
+                    size.append(np.full(len(h), k))
+                    hashes.append(h)
+            own = pa.array(np.concatenate(at))
+            columns = [*(batch[x].take(own) for x in keys), pa.array(np.concatenate(size)), pa.array(np.concatenate(hashes).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "k", "h"])
+
+    return rows.select("text", *keys).mapInArrow(run, ", ".join(f"{x} bigint" for x in [*keys, "k", "h"]))
+
+
+def _joined(rows: DataFrame, items: DataFrame, least: int, coverage: float) -> DataFrame:
+    """Items as a table: seeds meet in a join, and documents meet the items that they share one with."""
+    known = items.withColumns({"ih": F.xxhash64("item", "text"), "ig": F.xxhash64(F.lit(7), "item", "text")})
+    windows = written(_windows(known, ["ih", "ig"], None, least, False), "item_windows")
+    often = windows.groupBy("k", "h").agg(F.countDistinct("ih", "ig").alias("often"))
+    place = Window.partitionBy("ih", "ig").orderBy("often", "h")
+    ranked = windows.join(often, ["k", "h"]).withColumns({"place": F.row_number().over(place), "of": F.count("*").over(Window.partitionBy("ih", "ig"))})
+    needed = F.ceil(F.ceil(F.lit(coverage) * (F.col("of") + F.col("k") - 1) - F.lit(1e-9)) / F.col("k"))
+    seeds = written(ranked.where(F.col("place") <= F.col("of") - F.greatest(needed, F.lit(1)) + 1).select("k", "h", "ih", "ig").distinct(), "seeds")
+    sizes = sorted(r[0] for r in seeds.select("k").distinct().collect())  # ``least`` numbers at most
+    keyed = rows.withColumns({"dk": F.coalesce(F.xxhash64("id"), F.lit(0)), "th": F.xxhash64(F.lit(7), "id", "text")})
+    pairs = _windows(keyed, ["dk", "th"], sizes, least, True).join(seeds, ["k", "h"]).select("dk", "th", "ih", "ig").distinct()
+    pairs = written(pairs, "pairs")
+    both = pairs.join(known.withColumnRenamed("text", "own"), ["ih", "ig"]).join(keyed, ["dk", "th"]).select("id", "text", "item", "own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seeds_ = None, None
+        for batch in batches:
+            at, found = [], []
+            for i, (raw, own) in enumerate(zip(batch["text"].cast(pa.large_binary()), batch["own"].to_pylist(), strict=True)):
+                if own != last:
+                    last, seeds_ = own, Seeds([(0, tokens(own))], least)
+                for hit in matches(_text(raw), seeds_, coverage):
+                    at.append(i)
+                    found.append(hit)
+            yield _batch(batch["id"], at, batch["item"].take(pa.array(at, pa.int64())), found)
+
+    return both.mapInArrow(run, _schema(rows, items))

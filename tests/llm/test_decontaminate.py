@@ -49,12 +49,20 @@ def test_reordered_passage_is_caught_and_clean_text_is_not(spark):
     assert dc.contaminated(d, i.limit(0)).count() == 0 and dc.contaminated(d.limit(0), i).count() == 0
 
 
-def test_blocks_give_what_one_block_gives(spark, monkeypatch):
+def test_joined_items_give_what_scanned_ones_give(spark, odd_docs, monkeypatch):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     i = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     whole = sorted(map(tuple, dc.contaminated(d, i).collect()))
-    monkeypatch.setattr(dc, "BLOCK_TOKENS", 300)
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "alpha beta gamma delta epsilon zeta")
+    few = spark.createDataFrame([(1, f"{c} and {a} and {b}"), (1, f"{c} and {a} and {b}"), (None, f"{b} {a}"), (2, "x y z five six"), (3, None), (4, " ".join([a] * 300))], "doc_id bigint, text string")
+    items = spark.createDataFrame([("p", f"{a} {b} {c}"), ("p", f"{a} {b} {c}"), ("q", "five six"), ("r", None), ("s", " ".join([a] * 3)), (None, b)], "item_id string, text string")
+    key = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    small = key(dc.contaminated(few, items))
+    monkeypatch.setattr(dc, "BLOCK_TOKENS", -1)
     assert whole and sorted(map(tuple, dc.contaminated(d, i).collect())) == whole
+    assert len(small) > 8 and key(dc.contaminated(few, items)) == small
+    assert dc.contaminated(odd_docs, i).count() == 0
+    assert dc.contaminated(d, i.limit(0)).count() == 0 and dc.contaminated(d.limit(0), i).count() == 0
 
 
 def test_odd_documents(spark, odd_docs, no_docs):
