@@ -32,11 +32,6 @@ def parents(rows: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     return found.where("_ask").drop("_level", "_ask", "_ord")
 
 
-def clear(rows: DataFrame, doc_col: str = "doc_id") -> DataFrame:
-    """How many rows each document's outline loses."""
-    return rows.groupBy(doc_col).agg(F.count("*").alias("removed"))
-
-
 def resolve(links: DataFrame, destinations: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     """links with the page of their named destination; of entries with one name the last counts."""
     last = destinations.groupBy(F.col(doc_col).alias("_doc"), F.col("name").alias("_name")).agg(F.max_by("target", "ord").alias("resolved"))

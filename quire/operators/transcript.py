@@ -18,7 +18,16 @@ COURSE = rf"(?i)^([A-Z][A-Z0-9-]{{1,8}}\s+\d{{2,4}}[A-Z]?)\s+(.+?)\s+({GRADE})(?
 TRANSFER = r"(?i)^transfer\s+(?:credit|institution)\s*[:\-]?\s*(.+)$"
 TOTAL = r"(?i)\b(term|cumulative)\s+gpa\b\s*[:\-]?\s*(\d+(?:\.\d+)?)"
 ISSUED = r"(?i)\b(?:issued|issue\s+date|transcript\s+date|date\s+issued)\b"
-ISO_DATE = r"(20\d{2}-\d{2}-\d{2})"
+DATE = r"(?i)20\d{2}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/20\d{2}|(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+\d{1,2},?\s+20\d{2}"
+CONFERRED = r"(?i)\b(?:conferred|conferral|awarded|degree\s+date)\b"
+DEGREE = r"(?i)\b(?:degree|program)\s*[:\-]\s*(.+)$"
+AWARDED = r"(?i)\b(?:awarded|conferred|graduated)\b"
+PENDING = r"(?i)\b(?:pending|candidate|in progress)\b"
+TITLE = r"(?i)\bofficial\b.*\btranscript\b|\bacademic\s+transcript\b"
+INSTITUTION = r"(?i)\b(?:university|college|institute|school)\b|\buc\s+[a-z]+\b"
+STUDENT_ID = r"(?i)\b(?:student\s+id|student\s+number|id\s*:)\b"
+STUDENT_NAME = r"(?i)\b(?:student|name)\s*:"
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
 def clean(text: Column) -> Column:
@@ -26,6 +35,37 @@ def clean(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"^[ :\-\t]+|[ :\-\t]+$", ""), r"\s+", " ")
 
 
+def first_date(text: Column) -> Column:
+    """The first date of a text that exists: year-month-day in full digits, month/day/year, or a month's name with day and year."""
+
+    def read(v: Column) -> Column:
+        month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(v, 1, 3)))
+        named = F.concat_ws("-", F.regexp_extract(v, r"(\d{4})$", 1), month, F.regexp_extract(v, r"\s(\d{1,2}),?\s", 1))
+        plain = F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}$"), v).when(v.contains("/"), F.regexp_replace(v, r"^(\d+)/(\d+)/(\d+)$", "$3-$1-$2")).when(month > 0, named)
+        return F.try_to_timestamp(plain, F.lit("yyyy-M-d")).cast("date")
+
+    return F.get(F.filter(F.transform(F.regexp_extract_all(text, F.lit(DATE), F.lit(0)), read), lambda d: d.isNotNull()), F.lit(0))
+
+
+def identity(lines: DataFrame) -> DataFrame:
+    """What a transcript says of itself: title, institution, whether a student's name and id are given, degree, its status and
+    date, and the date of issue. Each comes from the first line that has it; the status from the last."""
+    text, place = F.col("text"), F.struct("page", "seq")
+    first = lambda value, when: F.min_by(value, F.when(when & value.isNotNull(), place))
+    status = F.when(text.rlike(AWARDED), "awarded").when(text.rlike(PENDING), "pending")
+    school = text.rlike(INSTITUTION) & ~F.lower("text").startswith("transfer")
+    return lines.groupBy("doc_id").agg(
+        first(clean(text), text.rlike(TITLE)).alias("title"),
+        first(clean(text), school).alias("institution"),
+        F.bool_or(text.rlike(STUDENT_NAME)).alias("student_name_present"),
+        F.bool_or(text.rlike(STUDENT_ID)).alias("student_identifier_present"),
+        first(clean(F.regexp_extract("text", DEGREE, 1)), text.rlike(DEGREE)).alias("degree"),
+        F.coalesce(F.max_by(status, F.when(status.isNotNull(), place)), F.lit("unknown")).alias("degree_status"),
+        first(first_date(text), text.rlike(CONFERRED)).alias("conferral_date"),
+        first(first_date(text), text.rlike(ISSUED)).alias("issue_date"),
+    )
+
+
 def classified(lines: DataFrame) -> DataFrame:
     """lines (doc_id, page, seq, text) with ``kind``: term, transfer, total, course or other, and the current term
     and transfer institution of each."""
@@ -72,7 +112,8 @@ def quality(lines: DataFrame) -> DataFrame:
 def freshness(lines: DataFrame, conferred: str | None) -> DataFrame:
     """(doc_id, issue_date, latest_term, verdict) against an asserted conferral date."""
     rows = classified(lines)
-    issue = F.min(F.when(F.col("text").rlike(ISSUED), F.struct("page", "seq", F.try_to_timestamp(F.nullif(F.regexp_extract("text", ISO_DATE, 1), F.lit("")), F.lit("yyyy-MM-dd")).cast("date").alias("d"))))["d"]
+    printed = first_date(F.col("text"))
+    issue = F.min_by(printed, F.when(F.col("text").rlike(ISSUED) & printed.isNotNull(), F.struct("page", "seq")))
     name = F.when((F.col("kind") == "term"), F.col("header.name"))
     bounds = season_bounds(F.substring_index(name, " ", 1), F.substring_index(name, " ", -1))
     date = F.lit(conferred).cast("date")

@@ -169,7 +169,31 @@ def transcript_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcript.quality(transcript_lines(spark, sf_dir))
 
 
-@query()
+@query("""select c_custkey doc_id, 'OFFICIAL ACADEMIC TRANSCRIPT' title, 'University of ' || n_name institution, true student_name_present, c_custkey % 2 = 0 student_identifier_present,
+  case when c_custkey % 5 <> 0 then 'Master of ' || c_mktsegment end degree, case c_custkey % 3 when 0 then 'awarded' when 1 then 'pending' else 'unknown' end degree_status,
+  case when c_custkey % 3 = 0 then date '2026-06-15' end conferral_date, case when c_custkey % 4 < 3 then make_date(2026, 1 + c_custkey % 12, 1 + c_custkey % 28) end issue_date
+  from customer join nation on n_nationkey = c_nationkey""")
+def transcript_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey")
+    day = F.make_date(F.lit(2026), (1 + k % 12).cast("int"), (1 + k % 28).cast("int"))
+    forms = [F.date_format(day, f) for f in ("yyyy-MM-dd", "M/d/yyyy", "MMMM d, yyyy")]
+    issued = F.when(k % 4 == 0, forms[0]).when(k % 4 == 1, forms[1]).when(k % 4 == 2, forms[2]).otherwise("2026-02-31")
+    said = F.array(
+        F.lit("OFFICIAL ACADEMIC TRANSCRIPT"),
+        F.concat(F.lit("University of "), F.col("n_name"), F.lit(" - ")),
+        F.concat(F.lit("Student: "), F.col("c_name")),
+        F.when(k % 2 == 0, F.lit("Student ID 12345")).otherwise("Level: graduate"),
+        F.when(k % 5 != 0, F.concat(F.lit("Degree: Master of  "), F.col("c_mktsegment"))).otherwise("no degree named"),
+        F.when(k % 3 == 0, F.lit("Awarded on June 15, 2026")).when(k % 3 == 1, F.lit("Candidate")).otherwise("nothing"),
+        F.concat(F.lit("Issue Date: "), issued),
+        F.lit("Transfer Credit: EXAMPLE COLLEGE"),
+    )
+    return transcript.identity(c.select(k.alias("doc_id"), F.lit(0).alias("page"), F.posexplode(said).alias("seq", "text")))
+
+
+@query("""with o as (select o_custkey doc_id, year(o_orderdate) + 10 y, case when month(o_orderdate) <= 6 then 1 when month(o_orderdate) <= 7 then 2 else 3 end s, o_orderdate::date d, o_orderkey k from orders)
+  select doc_id, null::date issue_date, ['Spring', 'Summer', 'Fall'][max(y * 10 + s)::int % 10] || ' ' || (max(y * 10 + s) // 10) latest_term, 'unknown_issue_date' verdict from o group by doc_id""")
 def transcript_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcript.freshness(transcript_lines(spark, sf_dir), "2011-03-01").select("doc_id", "issue_date", "latest_term", "verdict")
 

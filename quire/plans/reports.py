@@ -170,11 +170,6 @@ def outline_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outline.parents(rows).select("doc_id", "ord", "parent")
 
 
-@query("""select o_custkey doc_id, count(*) removed from orders group by o_custkey""")
-def bookmarks_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outline.clear(table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "doc_id"))
-
-
 @query("""with d as (select conv_id, role, max_by(turn, turn) t from conversations group by conv_id, role)
   select c.conv_id doc_id, c.turn as ord, d.t resolved from conversations c left join d on d.conv_id = c.conv_id and d.role = case when c.turn % 2 = 0 then 'assistant' else 'nobody' end""")
 def named_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,10 +268,3 @@ def security_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = (F.col("o_orderkey") % 3900 - 3904).cast("int")
     p = permissions(flags)
     return table(spark, sf_dir, "orders").select("o_orderkey", p["print"].alias("print"), p["copy"].alias("copy"), p["print_high"].alias("print_high"))
-
-
-@query("""select p_partkey, sum(case when p_type like '%TIN%' then 1 else 0 end)::bigint tin, least(max(p_size), 10)::bigint kept_size, round(least(max(p_size), 10) / max(p_size)::double, 3) ratio from part group by p_partkey""")
-def compress_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.max("p_size")
-    rows = table(spark, sf_dir, "part").groupBy("p_partkey").agg(F.sum(F.when(F.col("p_type").like("%TIN%"), 1).otherwise(0)).alias("tin"), F.least(size, F.lit(10)).cast("bigint").alias("kept_size"), size.alias("s"))
-    return rows.select("p_partkey", "tin", "kept_size", F.round(F.col("kept_size") / F.col("s").cast("double"), 3).alias("ratio"))
