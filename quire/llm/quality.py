@@ -50,11 +50,12 @@ from quire.llm.text_arrays import code_points, gram_hashes, gram_mask, mix, owne
 ORDER, LOWER = 6, 3  # LOWER: the highest order that is summed up first
 SYMBOL_BITS = 8
 SYMBOLS_MASK = (1 << SYMBOL_BITS * LOWER) - 1
-MODEL_ROWS = 8 << 20  # of 16 bytes, handed to every worker at most
+MODEL_ROWS = 8 << 20  # of 12 bytes, handed to every worker at most
 CHUNK_CHARS = 8 << 20  # of a chunk of documents that meets its part of a larger model
 LEAST_SPREAD = 0.5
 PPL_GRID, Z_GRID = 10_000, 100  # quantiles are exact over values on these grids: few distinct ones, in any order
-HELD_KEYS = 1 << 21  # distinct n-grams that a worker adds up before it passes them on
+HELD_KEYS = 1 << 20  # distinct n-grams that a worker adds up before it passes them on
+ROWS_A_BATCH = 1 << 16
 WINDOW = 8
 # The characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -111,17 +112,18 @@ def first_copies(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
 
 
 def count_grams(rows: DataFrame) -> DataFrame:
-    """(lang, key, n, times) of rows (text, lang, first): how often each n-gram occurs in the texts of a language that
-    train its model, and in all."""
+    """(lang, key, n) of rows (text, lang, first): how often each n-gram of a language occurs in the texts that train its
+    model, which may be never."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for lang, counts in held.items():
-                columns = [pa.array([lang] * len(counts[0]), pa.string()), *(pa.array(x.astype(np.int64)) for x in counts)]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "key", "n", "once", "times"])
-            held.clear()
+            for lang in list(held):
+                counts = held.pop(lang)
+                for at in range(0, len(counts[0]), ROWS_A_BATCH):
+                    part = [x[at : at + ROWS_A_BATCH].astype(np.int64) for x in counts]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part[0]), pa.string()), *map(pa.array, part)], names=["lang", "key", "n", "once"])
 
         for batch in batches:
             langs, first = np.array(batch.column(1).to_pylist() + [None], object)[:-1], batch.column(2).to_numpy(zero_copy_only=False)
@@ -134,21 +136,21 @@ def count_grams(rows: DataFrame) -> DataFrame:
                     member = (here == lang)[own]
                     if member.any():
                         key, at = np.unique(keys[member], return_inverse=True)
-                        new = [key, *(np.bincount(at, x[own[member]], len(key)) for x in (trains, once)), np.bincount(at, minlength=len(key))]
+                        new = [key, *(np.bincount(at, x[own[member]], len(key)).astype(np.int32) for x in (trains, once))]
                         held[lang] = _added(held[lang], new) if lang in held else new
             if sum(len(x[0]) for x in held.values()) > HELD_KEYS:
                 yield from out()
         yield from out()
 
-    counted = rows.select("text", "lang", "first").mapInArrow(run, "lang string, key bigint, n bigint, once bigint, times bigint")
-    counted = written(counted.groupBy("lang", "key").agg(*(F.sum(x).alias(x) for x in ("n", "once", "times"))), "grams")
+    counted = rows.select("text", "lang", "first").mapInArrow(run, "lang string, key bigint, n bigint, once bigint")
+    counted = written(counted.groupBy("lang", "key").agg(*(F.sum(x).alias(x) for x in ("n", "once"))), "grams")
     taught = {r[0] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0").collect()}
     return counted.withColumn("n", F.when(F.col("lang").isin(list(taught)), F.col("n")).otherwise(F.col("once"))).drop("once")
 
 
 def _added(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
     key, at = np.unique(np.concatenate((a[0], b[0])), return_inverse=True)
-    return [key, *(np.bincount(at, np.concatenate((x, y)), len(key)) for x, y in zip(a[1:], b[1:], strict=True))]
+    return [key, *(np.bincount(at, np.concatenate((x, y)), len(key)).astype(np.int32) for x, y in zip(a[1:], b[1:], strict=True))]
 
 
 def few_symbols(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -267,8 +269,8 @@ def _by_group(counts: DataFrame, made, schema: str) -> DataFrame:  # noqa: ANN00
     return dealt.mapInArrow(run, schema)
 
 
-def log_probabilities(counts: DataFrame) -> DataFrame:
-    """(lang, key, logp, low) of every n-gram in counts; low is the log-probability after order ``LOWER``."""
+def log_probabilities(counts: DataFrame) -> tuple[DataFrame, dict[str, list[Order]]]:
+    """(lang, key, logp) of every n-gram in counts, and the orders up to ``LOWER`` of each language."""
 
     def summed(lang: str, keys: np.ndarray, n: np.ndarray) -> Iterator[list[np.ndarray]]:
         orders = continued(keys[n > 0], n[n > 0], ORDER, LOWER)
@@ -290,9 +292,9 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
     def known(lang: str, keys: np.ndarray, n: np.ndarray) -> Iterator[list[np.ndarray]]:
         below, cuts = lower[lang]
         model = estimate(continued(keys[n > 0], n[n > 0], ORDER, LOWER + 1), cuts, below)
-        yield [keys, *(log_probability(x, keys).astype(np.float32) for x in (model, below))]
+        yield [keys, log_probability(model, keys).astype(np.float32)]
 
-    return _by_group(counts, known, "lang string, key bigint, logp float, low float")
+    return _by_group(counts, known, "lang string, key bigint, logp float"), {lang: x[0] for lang, x in lower.items()}
 
 
 def base_statistics(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -337,7 +339,7 @@ def base_statistics(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-Lookup = list[np.ndarray]
+Lookup = tuple[np.ndarray, np.ndarray, list["Order"]]
 PPL = ["log_ppl", "low_ppl"]
 
 
@@ -354,9 +356,10 @@ def _scored(ids: pa.Array, texts: pa.Array, langs: list[str], model: dict[str, L
             member = np.flatnonzero((here == lang)[own])
             if len(member):
                 own_keys, at = np.unique(keys[member], return_inverse=True)
-                place = np.searchsorted(model[lang][0], own_keys)
-                for to, values in zip(logp, model[lang][1:], strict=True):
-                    to[member] = values[place][at]
+                known, values, below = model[lang]
+                logp[0][member] = values[np.searchsorted(known, own_keys)][at]
+                short, place = np.unique(own_keys & SYMBOLS_MASK, return_inverse=True)
+                logp[1][member] = log_probability(below, short)[place][at]
         ppl = [np.where(size > 0, np.bincount(own, -x, len(size)) / np.maximum(size, 1), np.nan) for x in logp]
         for to, x in zip(columns, [*base_statistics(part.data, part.bounds), size, *ppl], strict=True):
             to.append(x)
@@ -365,9 +368,10 @@ def _scored(ids: pa.Array, texts: pa.Array, langs: list[str], model: dict[str, L
     return pa.RecordBatch.from_arrays([ids, pa.array(langs, pa.string()), *out], names=names)
 
 
-def _sorted(table: pa.Table) -> Lookup:
-    order = np.argsort(table["key"].to_numpy())
-    return [table[x].to_numpy()[order] for x in ("key", "logp", "low")]
+def _sorted(table: pa.Table, below: list[Order]) -> Lookup:
+    keys, logp = table["key"].to_numpy(), table["logp"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], logp[order], below
 
 
 def score(docs: DataFrame, counts: DataFrame, id_col: str, text_col: str, lang_col: str, model_rows: int = MODEL_ROWS) -> DataFrame:
@@ -375,13 +379,11 @@ def score(docs: DataFrame, counts: DataFrame, id_col: str, text_col: str, lang_c
     id_kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_kind}, lang string, " + ", ".join(f"{x} bigint" for x in STATISTICS) + ", chars bigint, log_ppl double, low_ppl double"
     names = [id_col, "lang", *STATISTICS, "chars", *PPL]
-    model = written(log_probabilities(counts), "model")
+    table, lower = log_probabilities(counts)
+    model = written(table, "model")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), named(lang_col).alias("lang"))
     if model.count() <= model_rows:
-        table = model.toArrow()
-        given: dict[str, Lookup] = {}
-        for lang in pc.unique(table["lang"]).to_pylist():
-            given[lang] = _sorted(table.filter(pc.equal(table["lang"], lang)))
+        given = {lang: _sorted(model.where(F.col("lang") == lang).select("key", "logp").toArrow(), below) for lang, below in lower.items()}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -389,7 +391,7 @@ def score(docs: DataFrame, counts: DataFrame, id_col: str, text_col: str, lang_c
 
         return rows.mapInArrow(run, schema)
 
-    chunks = 1 + counts.agg(F.sum("times")).first()[0] // CHUNK_CHARS
+    chunks = 1 + (rows.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0) // CHUNK_CHARS
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,7 +411,7 @@ def score(docs: DataFrame, counts: DataFrame, id_col: str, text_col: str, lang_c
 
     def met(left: pa.Table, right: pa.Table) -> pa.Table:
         lang = left["lang"][0].as_py() if left.num_rows else ""
-        own = {lang: _sorted(right)}
+        own = {lang: _sorted(right, lower.get(lang, []))}
         return pa.Table.from_batches([_scored(b["id"], b["text"], b["lang"].to_pylist(), own, names) for b in left.combine_chunks().to_batches()], arrow)
 
     return rows.groupBy("lang", "chunk").cogroup(answers.groupBy("lang", "chunk")).applyInArrow(met, schema)
