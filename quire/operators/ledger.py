@@ -60,3 +60,11 @@ def first_kept_last_wins(rows: DataFrame, key: list[str], order: str, values: li
 def newest_entry(rows: DataFrame, key: list[str], newest_first: list[Column]) -> DataFrame:
     """The first row of each key in the given order."""
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(*newest_first))).where("_k = 1").drop("_k")
+
+
+def status(expected: DataFrame, found: DataFrame, key: str, digest: str) -> DataFrame:
+    """(key, status) of what should be there and what is: ready, changed, missing or extra, by digest."""
+    a = expected.select(key, F.col(digest).alias("_want"))
+    b = found.select(key, F.col(digest).alias("_have"))
+    state = F.when(F.col("_have").isNull(), "missing").when(F.col("_want").isNull(), "extra").when(F.col("_want") == F.col("_have"), "ready").otherwise("changed")
+    return a.join(b, key, "full_outer").select(key, state.alias("status"))

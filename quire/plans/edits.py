@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import documents
+from quire.operators import documents, layout, ledger
 from quire.plans.catalog import query
 from quire.plans.files import _SQUEEZED, pdf_files
 from quire.sources import convert, pdf_edit, pdf_tables, sinks
@@ -532,3 +532,35 @@ def pdf_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pdf_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pdf_tables.sound(pdf_tables.parse(pdf_files(spark, sf_dir), "objects")).where("num = 2")
     return rows.select(doc(), F.regexp_extract("body", "^[^K]*", 0).alias("body"))
+
+
+def grid_file(rows: list) -> bytes:
+    """A page with a ruled table: a row each, its cells' texts inside."""
+    d = Draft(text_pdf([""]))
+    page, n = d.page(0), len(rows)
+    lines = [b"%g %g m %g %g l S" % (72, 692 - 30 * i, 432, 692 - 30 * i) for i in range(n + 1)]
+    lines += [b"%g %g m %g %g l S" % (72 + 120 * i, 692, 72 + 120 * i, 692 - 30 * n) for i in range(3)]
+    d.draw(page, b"\n".join([*lines, b"431 %d 2 %d re f" % (692 - 30 * n, 30 * n)]))
+    for i, r in enumerate(rows):
+        for j, cell in enumerate((str(r["n_nationkey"]), r["n_name"], str(len(r["n_name"])))):
+            pdf_edit.place_text(d, 0, 80 + 120 * j, 120 + 30 * i, cell, 8)
+    return d.save()
+
+
+@query("""with r as (select *, row_number() over (partition by n_regionkey order by n_nationkey) - 1 r from nation)
+  select n_regionkey::bigint doc_id, 0::bigint page, 1::bigint as "table", r as "row", c.c::bigint col,
+  case c.c when 0 then n_nationkey::varchar when 1 then n_name else length(n_name)::varchar end as text from r, (values (0), (1), (2)) c(c)""")
+def pdf_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("rows"))
+    files = documents.written_from(n, F.col("n_regionkey"), F.col("rows"), grid_file)
+    read = lambda name: pdf_tables.sound(pdf_tables.parse(files, name)).withColumn("doc_id", F.col("path").cast("bigint")).drop("path")
+    return layout.table_cells(read("edges"), read("words"))
+
+
+@query("""select page_id, case when page_id % 5 = 0 then 'missing' when page_id % 7 = 0 then 'changed' when page_id % 11 = 0 then 'extra' else 'ready' end status from pages""")
+def setup_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"))
+    k = F.col("page_id")
+    expected = p.where((k % 11 != 0) | (k % 5 == 0) | (k % 7 == 0))
+    found = p.where(k % 5 != 0).withColumn("digest", F.when(k % 7 == 0, F.sha2("digest", 256)).otherwise(F.col("digest")))
+    return ledger.status(expected, found, "page_id", "digest")

@@ -761,3 +761,91 @@ def page_words(doc: Document, page: dict) -> list[list[Word]]:
     interpret(doc.contents(page), resources if isinstance(resources, dict) else {}, [1, 0, 0, 1, 0, 0], 0)
     flush()
     return [ln for ln in lines if ln]
+
+
+class Edge(NamedTuple):
+    """A straight line of a page, horizontal (h) or vertical (v)."""
+
+    orient: str
+    x0: float
+    top: float
+    x1: float
+    bottom: float
+
+
+THIN, STRAIGHT = 2.0, 0.5  # points: a painted box up to so thick is a line; a line may be so far from straight
+
+
+def page_edges(doc: Document, page: dict) -> list[Edge]:
+    """The straight lines that a page paints: strokes, sides of boxes, and boxes thin enough to be lines."""
+    left, _, _, high = doc.box(page)
+    out: list[Edge] = []
+
+    def keep(x0: float, y0: float, x1: float, y1: float) -> None:
+        x0, x1, top, bottom = min(x0, x1) - left, max(x0, x1) - left, high - max(y0, y1), high - min(y0, y1)
+        if bottom - top <= STRAIGHT < x1 - x0:
+            out.append(Edge("h", x0, (top + bottom) / 2, x1, (top + bottom) / 2))
+        elif x1 - x0 <= STRAIGHT < bottom - top:
+            out.append(Edge("v", (x0 + x1) / 2, top, (x0 + x1) / 2, bottom))
+
+    def interpret(data: bytes, resources: dict, ctm: list[float], depth: int) -> None:
+        saved, stack, lexer = [], [], Lexer(data)
+        forms = doc.get(resources.get("XObject")) or {}
+        lines: list[tuple[float, float, float, float]] = []
+        boxes: list[tuple[float, float, float, float]] = []
+        pen = start = (0.0, 0.0)
+        at = lambda x, y: (x * ctm[0] + y * ctm[2] + ctm[4], x * ctm[1] + y * ctm[3] + ctm[5])
+        while (token := lexer.next()) is not None:
+            if not isinstance(token, Keyword):
+                stack.append(token)
+                if len(stack) > 4096:
+                    stack.clear()
+                continue
+            op, n = bytes(token), [float(x) for x in stack if isinstance(x, int | float)]
+            if op == b"q":
+                saved.append(ctm)
+            elif op == b"Q" and saved:
+                ctm = saved.pop()
+            elif op == b"cm" and len(n) >= 6:
+                ctm = _multiply(n[-6:], ctm)
+            elif op == b"m" and len(n) >= 2:
+                pen = start = at(n[-2], n[-1])
+            elif op == b"l" and len(n) >= 2:
+                end = at(n[-2], n[-1])
+                lines.append((*pen, *end))
+                pen = end
+            elif op in (b"c", b"v", b"y") and len(n) >= 4:
+                pen = at(n[-2], n[-1])
+            elif op in (b"h", b"s", b"b", b"b*") and pen != start:
+                lines.append((*pen, *start))
+                pen = start
+            elif op == b"re" and len(n) >= 4:
+                boxes.append((*at(n[-4], n[-3]), *at(n[-4] + n[-2], n[-3] + n[-1])))
+            if op in (b"S", b"s", b"f", b"F", b"f*", b"B", b"B*", b"b", b"b*"):
+                if op in (b"S", b"s", b"B", b"B*", b"b", b"b*"):
+                    for line in lines:
+                        keep(*line)
+                for x0, y0, x1, y1 in boxes:
+                    if abs(y1 - y0) <= THIN:
+                        keep(x0, (y0 + y1) / 2, x1, (y0 + y1) / 2)
+                    elif abs(x1 - x0) <= THIN:
+                        keep((x0 + x1) / 2, y0, (x0 + x1) / 2, y1)
+                    else:
+                        for side in ((x0, y0, x1, y0), (x0, y1, x1, y1), (x0, y0, x0, y1), (x1, y0, x1, y1)):
+                            keep(*side)
+            if op in (b"S", b"s", b"f", b"F", b"f*", b"B", b"B*", b"b", b"b*", b"n"):
+                lines, boxes = [], []
+            elif op == b"Do" and stack and isinstance(stack[-1], Name) and depth < 16 and isinstance(forms, dict):
+                form = doc.get(forms.get(stack[-1]))
+                if isinstance(form, Stream) and form.dict.get("Subtype") == "Form":
+                    matrix = [float(doc.get(v)) for v in doc.get(form.dict.get("Matrix")) or [1, 0, 0, 1, 0, 0]]
+                    inner = doc.get(form.dict.get("Resources"))
+                    interpret(doc.decoded(form), inner if isinstance(inner, dict) else resources, _multiply(matrix, ctm), depth + 1)
+            elif op == b"BI":
+                end = re.compile(rb"\sEI(?=[\s])").search(lexer.data, lexer.at)
+                lexer.at = end.end() if end else len(lexer.data)
+            stack.clear()
+
+    resources = doc.get(page.get("Resources"))
+    interpret(doc.contents(page), resources if isinstance(resources, dict) else {}, [1, 0, 0, 1, 0, 0], 0)
+    return out

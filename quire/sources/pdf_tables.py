@@ -16,7 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from quire.sources.pdf import Document, Name, Ref, Stream, page_words
+from quire.sources.pdf import Document, Name, Ref, Stream, page_edges, page_words
 from quire.sources.pdf_crypt import ALLOW
 from quire.sources.pdf_write import spelled
 
@@ -24,6 +24,7 @@ SCHEMAS = {
     "documents": "path string, size_bytes bigint, page_count bigint, encrypted boolean, repaired boolean, title string, info map<string,string>, permissions map<string,boolean>, field_count bigint, xfa boolean, layer_count bigint, has_text boolean, page_sizes array<struct<width:double,height:double>>",
     "pages": "path string, page bigint, width double, height double, rotation bigint, text string, images bigint, links bigint, label string, annotations bigint, fields bigint",
     "words": "path string, page bigint, seq bigint, block bigint, line bigint, text string, x0 double, y0 double, x1 double, y1 double",
+    "edges": "path string, page bigint, orient string, x0 double, top double, x1 double, bottom double",
     "objects": "path string, num bigint, kind string, type string, keys array<string>, refs array<bigint>, body string",
     "outline": "path string, ord bigint, level bigint, title string, page bigint",
     "links": "path string, page bigint, ord bigint, x0 double, y0 double, x1 double, y1 double, uri string, target_page bigint",
@@ -94,6 +95,10 @@ def _words(path: str, doc: Document, size: int) -> list[tuple]:
     return rows
 
 
+def _edges(path: str, doc: Document, size: int) -> list[tuple]:
+    return [(path, i, *e) for i, (_, page) in enumerate(doc.page_list()) for e in page_edges(doc, page)]
+
+
 def _references(value: object, depth: int = 0) -> Iterator[int]:
     if isinstance(value, Ref):
         yield value.num
@@ -315,6 +320,7 @@ FORMS: dict[str, Callable[[str, Document, int], list[tuple]]] = {
     "documents": _documents,
     "pages": _pages,
     "words": _words,
+    "edges": _edges,
     "objects": _objects,
     "outline": _outline,
     "links": _links,
