@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.llm.scratch import written
+from quire.llm.text_arrays import tidy
 
 TOKEN = re.compile(r"\w+")
 BLOCK_TOKENS = 2_000_000
@@ -159,7 +160,7 @@ def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
             yield full.filter(pc.greater(n, 0))
 
     rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("text is not null").distinct()
-    return rows.mapInArrow(run, f"item {benchmark.schema[item_col].dataType.simpleString()}, text string, n bigint")
+    return rows.mapInArrow(tidy(run), f"item {benchmark.schema[item_col].dataType.simpleString()}, text string, n bigint")
 
 
 def contaminated(
@@ -210,7 +211,7 @@ def _scanned(rows: DataFrame, items: DataFrame, least: int, coverage: float) ->
                     found.append(hit)
             yield _batch(batch.column(0), at, pa.array([seeds.keys[x[0]] for x in found], key_type), found)
 
-    return rows.mapInArrow(run, _schema(rows, items))
+    return rows.mapInArrow(tidy(run), _schema(rows, items))
 
 
 def window_hashes(words: list[str], k: int) -> np.ndarray:
@@ -236,7 +237,7 @@ def _windows(rows: DataFrame, keys: list[str], sizes: list[int] | None, least: i
             columns = [*(batch[x].take(own) for x in keys), pa.array(np.concatenate(size)), pa.array(np.concatenate(hashes).view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keys, "k", "h"])
 
-    return rows.select("text", *keys).mapInArrow(run, ", ".join(f"{x} bigint" for x in [*keys, "k", "h"]))
+    return rows.select("text", *keys).mapInArrow(tidy(run), ", ".join(f"{x} bigint" for x in [*keys, "k", "h"]))
 
 
 def _joined(rows: DataFrame, items: DataFrame, least: int, coverage: float) -> DataFrame:
@@ -266,4 +267,4 @@ def _joined(rows: DataFrame, items: DataFrame, least: int, coverage: float) -> D
                     found.append(hit)
             yield _batch(batch["id"], at, batch["item"].take(pa.array(at, pa.int64())), found)
 
-    return both.mapInArrow(run, _schema(rows, items))
+    return both.mapInArrow(tidy(run), _schema(rows, items))

@@ -45,7 +45,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from quire.llm.scratch import small_side, written
-from quire.llm.text_arrays import code_points, gram_hashes, gram_mask, mix, owners, slices, span_hashes, split_words, word_hashes
+from quire.llm.text_arrays import code_points, gram_hashes, gram_mask, mix, owners, slices, span_hashes, split_words, tidy, word_hashes
 
 ORDER, LOWER = 6, 3  # LOWER: the highest order that is summed up first
 SYMBOL_BITS = 8
@@ -142,7 +142,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
-    counted = rows.select("text", "lang", "first").mapInArrow(run, "lang string, key bigint, n bigint, once bigint")
+    counted = rows.select("text", "lang", "first").mapInArrow(tidy(run), "lang string, key bigint, n bigint, once bigint")
     counted = written(counted.groupBy("lang", "key").agg(*(F.sum(x).alias(x) for x in ("n", "once"))), "grams")
     taught = {r[0] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0").collect()}
     return counted.withColumn("n", F.when(F.col("lang").isin(list(taught)), F.col("n")).otherwise(F.col("once"))).drop("once")
@@ -266,7 +266,7 @@ def _by_group(counts: DataFrame, made, schema: str) -> DataFrame:  # noqa: ANN00
         if held:
             yield from found(held)
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(tidy(run), schema)
 
 
 def log_probabilities(counts: DataFrame) -> tuple[DataFrame, dict[str, list[Order]]]:
@@ -389,7 +389,7 @@ def score(docs: DataFrame, counts: DataFrame, id_col: str, text_col: str, lang_c
             for batch in batches:
                 yield _scored(batch["id"], batch["text"], batch["lang"].to_pylist(), given, names)
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(tidy(run), schema)
 
     chunks = 1 + (rows.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0) // CHUNK_CHARS
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)))
@@ -405,7 +405,7 @@ def score(docs: DataFrame, counts: DataFrame, id_col: str, text_col: str, lang_c
                     both = np.unique(np.stack((chunk[own[member]], keys[member])), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * both.shape[1], pa.string()), pa.array(both[0]), pa.array(both[1])], names=["lang", "chunk", "key"])
 
-    answers = rows.mapInArrow(asked, "lang string, chunk bigint, key bigint").distinct().join(model, ["lang", "key"])
+    answers = rows.mapInArrow(tidy(asked), "lang string, chunk bigint, key bigint").distinct().join(model, ["lang", "key"])
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.components import connected_components
 from quire.llm.scratch import written
-from quire.llm.text_arrays import gram_mask, slices, split_words
+from quire.llm.text_arrays import gram_mask, slices, split_words, tidy
 
 BITS = 64
 SMALL_ENTRY = 64  # members up to which an entry's pairs are formed at once
@@ -74,7 +74,7 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(0), prints], names=[id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, fp bigint")
 
 
 def segments(m: int) -> list[tuple[int, int]]:
@@ -207,7 +207,7 @@ def links(prints: DataFrame, n: int, distance: int = 4) -> DataFrame:
         if held:
             yield found(held)
 
-    return entries.mapInArrow(run, "a bigint, b bigint").distinct()
+    return entries.mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, distance: int = 4) -> DataFrame:

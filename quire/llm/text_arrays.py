@@ -11,7 +11,9 @@ so memory is bounded by the larger of the slice and the longest document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -151,3 +153,20 @@ def code_points(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
         text = "".join(each)
         points = np.concatenate(([0], np.cumsum([len(x) for x in each], dtype=np.int64)))
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), points
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and what one stage has used would stay theirs in the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving memory back at its end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
