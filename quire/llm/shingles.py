@@ -1,21 +1,30 @@
-"""Near copies by the Jaccard similarity of shingle sets: every pair of at least a given one, checked exactly.
+"""Near copies: SimHash links first, checked exactly, then every other pair of at least a given Jaccard similarity.
 
 Sets. Each k-word shingle (words lower-cased A-Z; with fewer than k words the whole sequence) is a 64-bit hash; a
 text is the set of them. Texts of equal sets are one node, named by a hash of the set; all without words are one.
 
-Links. In any order of all shingles, two sets of similarity t or more share one of the first n - ceil(t n) + 1 of
-each (n its size), so each set is filed under those and every similar pair meets (prefix filter; no pair is lost,
+SimHash. The nodes' fingerprints go through the segment index, the pigeonring chains and the Hamming check of
+``simhash.links``; what it links is checked by the sets themselves. Similar sets may have fingerprints further apart
+(a median of 10 bits), so all that this leaves apart goes on to the prefix filter.
+
+Prefix filter. In any order of all shingles, two sets of similarity t or more share one of the first n - ceil(t n) + 1 of
+each (n its size), so each set is filed under those and every similar pair meets (no pair is lost,
 whatever the order and the number of rows). The order puts shingles that are frequent in a sample of the texts
 last: boilerplate of many texts stays out of the index, and the sample decides about speed only. A pair that meets
 must fit by size and by what can still follow in both, and by its sketches; then its whole sets are compared.
+Only pairs that no link has yet brought into one component are formed.
 
 Sketches. A set's shingles are counted by their leading bits, modulo 256, in a power of two of buckets between a
 quarter and a half of its size. Whatever the sets, they differ in at least as many shingles as their counts do, so
 a pair whose counts differ in more than similar sets may is settled without its sets.
 
 Large entries (a cluster of many slightly different texts) go in rounds: in a fixed random order of an entry's members,
-first those up to ``ROUNDS[0]`` places apart, then all others, but only pairs
-that no link has yet brought into one component. A pair that meets is thus either compared or already connected.
+first those up to ``ROUNDS[0]`` places apart. Of what is still apart each set takes a pivot, the member with most shingles from the
+entry on (mostly the text that others were made from), and is compared with it: one pair a set. Sets of one pivot then
+meet by their differences from it (X and Y differ in as many shingles as their differences do), again by a prefix
+filter, with the edits' own shingles first. Two sets far from each other that lie about a common
+text share all of that text and hardly an edit, so pairs no longer grow with the square of such a cluster. Sets of
+different pivots that meet are compared as they are. A pair that meets is thus compared, already connected, or excluded by a bound.
 """
 
 from __future__ import annotations
@@ -27,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm import simhash
 from quire.llm.components import connected_components
 from quire.llm.scratch import small_side, written
 from quire.llm.text_arrays import gram_hashes, gram_mask, mix, owners, slices, span_hashes, split_words, tidy, word_hashes
 
 SIMILAR = (4, 5)  # the least similarity, as a fraction
 ROUNDS = (16, 1 << 62)  # places apart in an entry up to which its members are paired, round by round
+DISTANCE = 6  # bits between SimHashes up to which the first links are sought: speed only, as the rest is exact
 SAMPLE_SHARE, SAMPLE_ROWS = 16, 20_000  # the order's sample, one text in so many, so many at least: speed only
 FREQUENT, MOST_FREQUENT = 3, 500_000
 LEAST_BITS = 4
@@ -64,15 +75,19 @@ def set_keys(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64) * np.uint64(_STEP))
 
 
+def how_often(grams: np.ndarray, frequent: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """How often each shingle is in the sample, 0 for those that are not frequent."""
+    if not len(frequent) or not len(grams):
+        return np.zeros(len(grams), np.int64)
+    at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
+    return np.where(frequent[at] == grams, often[at], 0)
+
+
 def prefixes(grams: np.ndarray, bounds: np.ndarray, frequent: np.ndarray, often: np.ndarray, similar: tuple[int, int] = SIMILAR) -> tuple[np.ndarray, ...]:
     """(set, shingle, size, place in the order) of the shingles that each set is filed under."""
     size = np.diff(bounds)
     own = np.repeat(np.arange(len(size)), size)
-    rank = np.zeros(len(grams), np.int64)
-    if len(frequent) and len(grams):
-        at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-        rank = np.where(frequent[at] == grams, often[at], 0)
-    order = np.lexsort((grams, rank, own))
+    order = np.lexsort((grams, how_often(grams, frequent, often), own))
     place = np.arange(len(grams)) - bounds[:-1][own]
     n = size[own]
     first = np.flatnonzero(place <= n - -(-similar[0] * n // similar[1]))
@@ -105,6 +120,30 @@ def least_difference(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(apart, -apart).sum())
 
 
+def difference(grams: np.ndarray, pivot: np.ndarray, frequent: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The shingles that only one of a set and its pivot has: the set's own first, each part by how rare we expect them."""
+    own, gone = np.setdiff1d(grams, pivot, assume_unique=True), np.setdiff1d(pivot, grams, assume_unique=True)
+    own = own[np.lexsort((own, how_often(own, frequent, often)))]
+    return np.concatenate((own, gone[np.lexsort((gone, -how_often(gone, frequent, often)))]))
+
+
+def is_near(d: int, n: int, pivot: int) -> bool:
+    """Whether a set of n shingles, d of them and of its pivot's in one only, is similar to the pivot."""
+    return d * sum(SIMILAR) <= (n + pivot) * (SIMILAR[1] - SIMILAR[0])
+
+
+def difference_prefix(d: int, n: int, pivot: int, near: bool) -> tuple[int, int]:
+    """How many of a difference of d shingles are filed, for all partners and for those far from the pivot (SIMILAR being 4/5).
+
+    Of a similar pair one is far from the pivot, or both are linked to it. With x, y the sizes of the differences, X
+    far: 9 x > X + P, and the differences share s shingles with 18 s >= 9 (x + y) - X - Y > 9 y + P - Y. That bounds Y's
+    prefix from X's side. A far X needs s >= x - X / 4 besides, as s <= y and Y <= 5 X / 4; of its prefixes the longer one is
+    for partners near the pivot.
+    """
+    short = d - (9 * d + pivot - n) // 18
+    return (short if near else max(short, d - max(1, -(-(4 * d - n) // 4)) + 1)), short
+
+
 def _table(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64) if x.dtype != np.uint64 else x.view(np.int64)) for x in columns], names=names)
 
@@ -157,22 +196,57 @@ def _fits(columns: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.n
     return np.minimum(a, b), np.maximum(a, b)
 
 
+def _mixed(column: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Which entries have more than one value."""
+    return np.logical_or.reduceat(column != np.repeat(column[edge[:-1]], np.diff(edge)), edge[:-1])
+
+
+def _pivots(columns: list[np.ndarray], edge: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """(key, pivot) for the members of entries with several roots: the member with most shingles from the entry on."""
+    _, key, n, place, root = columns
+    size = np.diff(edge)
+    entry = np.repeat(np.arange(len(size)), size)
+    first = np.lexsort((key, place, place - n, entry))[edge[:-1]]
+    some = np.repeat(_mixed(root, edge), size)
+    yield [key[some], np.repeat(key[first], size)[some]]
+
+
+def _meeting_by_difference(columns: list[np.ndarray], edge: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """Pairs of different roots, one of them far from the pivot, whose differences may share enough."""
+    _, key, n, place, d, near, short, root = columns
+    far, early = near == 0, place < short
+    held: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 2]
+    for k in np.flatnonzero(_mixed(root, edge)).tolist():
+        at = np.arange(edge[k], edge[k + 1])
+        close, both = at[~far[at] & early[at]], at[far[at] & early[at]]
+        for x in at[far[at]].tolist():
+            others = np.concatenate((close, both[both > x])) if early[x] else close
+            others = others[root[others] != root[x]]
+            least = -(-(9 * (d[x] + d[others]) - n[x] - n[others]) // 18)
+            y = key[others[np.minimum(d[x] - place[x], d[others] - place[others]) >= least]]
+            held.append([np.minimum(key[x], y), np.maximum(key[x], y)])
+            if sum(len(one) for one, _ in held) > PAIRS_HELD:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held = []
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def _meeting(columns: list[np.ndarray], edge: np.ndarray, low: int, high: int) -> Iterator[list[np.ndarray]]:
-    """Pairs of members ``low`` to ``high`` places apart in their entry, but for those of one root if roots are given."""
+    """Pairs of members ``low`` to ``high`` places apart in their entry, but for those of one root (or one pivot)."""
     size = np.diff(edge)
     end = np.repeat(edge[1:], size)
     at = np.arange(len(end))
-    if len(columns) > 4:  # what is settled as a whole goes at once
-        mixed = columns[4] != np.repeat(columns[4][edge[:-1]], size)
-        at = at[np.repeat(np.logical_or.reduceat(mixed, edge[:-1]), size)]
+    for column in columns[4:]:  # what is settled as a whole goes at once
+        at = at[np.repeat(_mixed(column, edge), size)[at]]
     held: list[list[np.ndarray]] = []
     for apart in range(low, high + 1):
         at = at[at + apart < end[at]]
         if not len(at):
             break
         a, b = at, at + apart
-        if len(columns) > 4:
-            other = columns[4][a] != columns[4][b]
+        for column in columns[4:]:
+            other = column[a] != column[b]
             a, b = a[other], b[other]
         held.append([*_fits(columns, a, b)])
         if sum(len(x) for x, _ in held) > PAIRS_HELD:
@@ -197,17 +271,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            prints = pa.array(simhash.fingerprints(batch.column(1), k).view(np.int64))
             keys, made, sizes = [np.zeros(0, np.uint64)], [], [np.zeros(0, np.int64)]
             for grams, bounds in shingle_sets(batch.column(1), k):
                 keys.append(set_keys(grams, bounds))
                 made += sketches(grams, bounds)
                 sizes.append(np.diff(bounds))
-            columns = [batch.column(0), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sizes)), pa.array(made, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "key", "n", "sketch"])
+            columns = [batch.column(0), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sizes)), pa.array(made, pa.binary()), prints]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "key", "n", "sketch", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = written(docs.select(id_col, text_col).mapInArrow(tidy(names), f"`{id_col}` {kind}, key bigint, n bigint, sketch binary"), "set_names")
-    nodes = written(rows.groupBy("key").agg(F.min(id_col).alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    rows = written(docs.select(id_col, text_col).mapInArrow(tidy(names), f"`{id_col}` {kind}, key bigint, n bigint, sketch binary, fp bigint"), "set_names")
+    nodes = written(rows.groupBy("key").agg(F.min(id_col).alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("fp").alias("fp")), "nodes")
     rows = rows.select(id_col, "key")
     roots = connected_components(links(docs.select(id_col, text_col), nodes, rows.count(), k)).withColumnRenamed("node", "key")
     placed = written(nodes.join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root")), "placed")
@@ -218,7 +293,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def links(docs: DataFrame, nodes: DataFrame, n: int, k: int = 5) -> DataFrame:
     """(a, b) names of sets in one component; they connect just what all similar pairs do.
 
-    docs has an id and a text in n rows or about as many, nodes each set's name, ``least`` id, size and sketch.
+    docs has an id and a text in n rows or about as many, nodes each set's name, ``least`` id, size, sketch and SimHash.
     """
     texts = docs.select(docs.columns[1])
     frequent, often = _frequent(texts, n, k)
@@ -238,17 +313,89 @@ def links(docs: DataFrame, nodes: DataFrame, n: int, k: int = 5) -> DataFrame:
 
     entries = texts.mapInArrow(tidy(file), "sh bigint, key bigint, n bigint, place bigint")
     shared = written(_by_entry(entries, _shared, ["sh", "key", "n", "place", "members"]), "shared")
-    entries, found, low = shared.select("sh", "key", "n", "place"), None, 1
-    for high in ROUNDS:
-        pairs = _by_entry(entries, lambda *x, low=low, high=high: _meeting(*x, low, high), ["a", "b"])
-        near = _similar(docs, nodes, pairs, k)
-        found = near if found is None else found.unionByName(near)
-        low, large = high + 1, shared.where(F.col("members") > high + 1)
-        if not large.first():
-            break
-        found = connected_components(found).select(F.col("node").alias("a"), F.col("root").alias("b"))
-        entries = large.join(found, large["key"] == found["a"], "left").select("sh", "key", "n", "place", F.coalesce("b", "key").alias("root"))
-    return found
+    found = _similar(docs, nodes, _by_simhash(nodes), k)
+    pairs = _by_entry(_rooted(shared, found), lambda *x: _meeting(*x, 1, ROUNDS[0]), ["a", "b"])
+    found = found.unionByName(_similar(docs, nodes, pairs, k))
+    large = shared.where(F.col("members") > ROUNDS[0] + 1)
+    if not large.first():
+        return found
+    entries = written(_rooted(large, found), "large")
+    roots = entries.select("key", "root").distinct()
+    chosen = written(_chosen(_by_entry(entries, _pivots, ["key", "pivot"]), roots), "chosen")
+    if not chosen.first():
+        return found
+    crossing = entries.join(chosen, "key").select("sh", "key", "n", "place", "root", "pivot")
+    crossing = _by_entry(crossing, lambda *x: _meeting(*x, 1, ROUNDS[1]), ["a", "b"])
+    differ = _differences(docs, nodes, chosen.join(roots, "key"), frequent, often, k)
+    near = differ.where("near = 1 and key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
+    return found.unionByName(near).unionByName(_similar(docs, nodes, crossing.unionByName(_by_difference(differ)), k))
+
+
+def _by_simhash(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that SimHash links: equal fingerprints with one of them, and that one with its neighbours'."""
+    first = written(nodes.groupBy("fp").agg(F.min("key").alias("key")), "fingerprints")
+    linked = written(simhash.links(first.select("fp"), first.count(), DISTANCE), "simhash_links").toDF("left", "right")
+    one, two = first.toDF("left", "a"), first.toDF("right", "b")
+    equal = nodes.select("fp", F.col("key").alias("b")).join(first.toDF("fp", "a"), "fp").where("a <> b")
+    return linked.join(one, "left").join(two, "right").select("a", "b").unionByName(equal.select("a", "b"))
+
+
+def _chosen(pivots: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, pivot) from the pivots of each key's entries: the commonest, and of a component's pivots its commonest."""
+    most = lambda df, by, x: df.groupBy(by).agg(F.max(F.struct("count", x))[x].alias(x))
+    own = written(most(pivots.groupBy("key", "pivot").count(), "key", "pivot"), "own_pivots")
+    count = own.groupBy("pivot").count().join(roots.toDF("pivot", "root"), "pivot")
+    one = count.select("pivot", "root").join(most(count, "root", "pivot").toDF("root", "one"), "root")
+    return own.join(one, "pivot").select("key", F.col("one").alias("pivot"))
+
+
+def _rooted(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries with each member's component over the links found so far."""
+    roots = connected_components(found).withColumnRenamed("node", "key")
+    return entries.join(roots, "key", "left").select("sh", "key", "n", "place", F.coalesce("root", "key").alias("root"))
+
+
+def _differences(docs: DataFrame, nodes: DataFrame, chosen: DataFrame, frequent: np.ndarray, often: np.ndarray, k: int) -> DataFrame:
+    """(key, pivot, root, n, size of the pivot, near, difference) for each set (key, pivot, root)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for whole, pivot in zip(batch.column(3), batch.column(4), strict=True):
+                grams, other = np.frombuffer(whole.as_buffer(), np.uint64), np.frombuffer(pivot.as_buffer(), np.uint64)
+                apart = difference(grams, other, frequent, often)
+                rows.append((len(grams), len(other), int(is_near(len(apart), len(grams), len(other))), apart.tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            made = [pa.array([x[i] for x in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["key", "pivot", "root", "n", "size", "near", "apart"])
+
+    need = written(chosen.select(F.explode(F.array("key", "pivot")).alias("key")).distinct(), "differing")
+    sets = written(_sets(docs, nodes, need, k), "member_sets")
+    both = chosen.join(sets, "key").join(sets.toDF("pivot", "other"), "pivot").select("key", "pivot", "root", "grams", "other")
+    return written(both.mapInArrow(tidy(run), "key bigint, pivot bigint, root bigint, n bigint, size bigint, near bigint, apart binary"), "differences")
+
+
+def _by_difference(differ: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one pivot that may be similar and are not both near it."""
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, pivot, root, n, size, near = (batch.column(i).to_numpy() for i in range(6))
+            filed, short, d = [np.zeros(0, np.uint64)], np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+            for i, x in enumerate(batch.column(6)):
+                apart = np.frombuffer(x.as_buffer(), np.uint64)
+                d[i] = len(apart)
+                long, short[i] = difference_prefix(len(apart), int(n[i]), int(size[i]), bool(near[i]))
+                filed.append(apart[:long])
+            count = np.array([len(x) for x in filed[1:]], np.int64)
+            own = np.repeat(np.arange(len(key)), count)
+            place = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+            sh = mix(np.concatenate(filed) ^ mix(pivot.view(np.uint64))[own])
+            names = ["sh", "key", "n", "place", "d", "near", "short", "root"]
+            yield _table([sh, key[own], n[own], place, d[own], near[own], short[own], root[own]], names)
+
+    entries = differ.mapInArrow(tidy(file), "sh bigint, key bigint, n bigint, place bigint, d bigint, near bigint, short bigint, root bigint")
+    return _by_entry(entries, _meeting_by_difference, ["a", "b"])
 
 
 def _frequent(texts: DataFrame, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -297,6 +444,11 @@ def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int) -> Dat
     sized = nodes.select("key", F.concat(F.unhex(F.lpad(F.hex("n"), 16, "0")), "sketch").alias("sketch"))
     pairs = _compared(written(pairs.distinct(), "met"), sized, "sketch", _close, "pairs")
     need = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "compared")
+    return _compared(pairs, written(_sets(docs, nodes, need, k), "sets"), "grams", _overlap, "similar")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, need: DataFrame, k: int) -> DataFrame:
+    """(key, grams) of the sets named in need (a stored table), made from the text of one id each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,5 +460,4 @@ def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int) -> Dat
     id_col, text_col = docs.columns
     least = written(need.join(nodes, "key").where("least is not null").select("least").distinct(), "least")
     texts = docs.join(small_side(least), docs[id_col] == least["least"], "left_semi").unionByName(docs.where(F.col(id_col).isNull())).select(text_col)
-    whole = texts.mapInArrow(tidy(sets), "key bigint, grams binary").join(small_side(need), "key", "left_semi").dropDuplicates(["key"])
-    return _compared(pairs, written(whole, "sets"), "grams", _overlap, "similar")
+    return texts.mapInArrow(tidy(sets), "key bigint, grams binary").join(small_side(need), "key", "left_semi").dropDuplicates(["key"])
