@@ -12,19 +12,19 @@ each (n its size), so each set is filed under those and every similar pair meets
 whatever the order and the number of rows). The order puts shingles that are frequent in a sample of the texts
 last: boilerplate of many texts stays out of the index, and the sample decides about speed only. A pair that meets
 must fit by size and by what can still follow in both, and by its sketches; then its whole sets are compared.
-Only pairs that no link has yet brought into one component are formed.
 
 Sketches. A set's shingles are counted by their leading bits, modulo 256, in a power of two of buckets between a
 quarter and a half of its size. Whatever the sets, they differ in at least as many shingles as their counts do, so
 a pair whose counts differ in more than similar sets may is settled without its sets.
 
 Large entries (a cluster of many slightly different texts) go in rounds: in a fixed random order of an entry's members,
-first those up to ``ROUNDS[0]`` places apart. Of what is still apart each set takes a pivot, the member with most shingles from the
-entry on (mostly the text that others were made from), and is compared with it: one pair a set. Sets of one pivot then
-meet by their differences from it (X and Y differ in as many shingles as their differences do), again by a prefix
-filter, with the edits' own shingles first. Two sets far from each other that lie about a common
-text share all of that text and hardly an edit, so pairs no longer grow with the square of such a cluster. Sets of
-different pivots that meet are compared as they are. A pair that meets is thus compared, already connected, or excluded by a bound.
+first those up to ``ROUNDS[0]`` places apart, with the pairs of SimHash. Then each set of an entry of more than ``DIRECT`` in
+several components takes a pivot, the member with most shingles from the entry on (mostly the text that others were made from),
+and is compared with it: one pair a set. Sets of one pivot that are still apart meet by their differences from it (X and Y
+differ in as many shingles as their differences do), again by a prefix filter, with the edits' own shingles first. Two
+sets far from each other that lie about a common text share all of that text and hardly an edit, so pairs do not grow with
+the square of such a cluster. Sets of different pivots, or of none, that meet are compared as they are. A pair that meets is thus
+compared, already connected, or excluded by a bound.
 """
 
 from __future__ import annotations
@@ -43,7 +43,8 @@ from quire.llm.text_arrays import gram_hashes, gram_mask, mix, owners, slices, s
 
 SIMILAR = (4, 5)  # the least similarity, as a fraction
 ROUNDS = (16, 1 << 62)  # places apart in an entry up to which its members are paired, round by round
-DISTANCE = 6  # bits between SimHashes up to which the first links are sought: speed only, as the rest is exact
+DIRECT = 256  # members of an entry up to which all pairs still apart are compared as they are
+DISTANCE = 4  # bits between SimHashes up to which the first links are sought: speed only, as the rest is exact
 SAMPLE_SHARE, SAMPLE_ROWS = 16, 20_000  # the order's sample, one text in so many, so many at least: speed only
 FREQUENT, MOST_FREQUENT = 3, 500_000
 LEAST_BITS = 4
@@ -207,7 +208,7 @@ def _pivots(columns: list[np.ndarray], edge: np.ndarray) -> Iterator[list[np.nda
     size = np.diff(edge)
     entry = np.repeat(np.arange(len(size)), size)
     first = np.lexsort((key, place, place - n, entry))[edge[:-1]]
-    some = np.repeat(_mixed(root, edge), size)
+    some = np.repeat(_mixed(root, edge) & (size > DIRECT), size)
     yield [key[some], np.repeat(key[first], size)[some]]
 
 
@@ -313,19 +314,18 @@ def links(docs: DataFrame, nodes: DataFrame, n: int, k: int = 5) -> DataFrame:
 
     entries = texts.mapInArrow(tidy(file), "sh bigint, key bigint, n bigint, place bigint")
     shared = written(_by_entry(entries, _shared, ["sh", "key", "n", "place", "members"]), "shared")
-    found = _similar(docs, nodes, _by_simhash(nodes), k)
-    pairs = _by_entry(_rooted(shared, found), lambda *x: _meeting(*x, 1, ROUNDS[0]), ["a", "b"])
-    found = found.unionByName(_similar(docs, nodes, pairs, k))
+    pairs = _by_entry(shared.select("sh", "key", "n", "place"), lambda *x: _meeting(*x, 1, ROUNDS[0]), ["a", "b"])
+    found = _similar(docs, nodes, _by_simhash(nodes).unionByName(pairs), k)
     large = shared.where(F.col("members") > ROUNDS[0] + 1)
     if not large.first():
         return found
     entries = written(_rooted(large, found), "large")
     roots = entries.select("key", "root").distinct()
     chosen = written(_chosen(_by_entry(entries, _pivots, ["key", "pivot"]), roots), "chosen")
-    if not chosen.first():
-        return found
-    crossing = entries.join(chosen, "key").select("sh", "key", "n", "place", "root", "pivot")
+    crossing = entries.join(small_side(chosen), "key", "left").select("sh", "key", "n", "place", "root", F.coalesce("pivot", "key").alias("pivot"))
     crossing = _by_entry(crossing, lambda *x: _meeting(*x, 1, ROUNDS[1]), ["a", "b"])
+    if not chosen.first():
+        return found.unionByName(_similar(docs, nodes, crossing, k))
     differ = _differences(docs, nodes, chosen.join(roots, "key"), frequent, often, k)
     near = differ.where("near = 1 and key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
     return found.unionByName(near).unionByName(_similar(docs, nodes, crossing.unionByName(_by_difference(differ)), k))
@@ -337,7 +337,8 @@ def _by_simhash(nodes: DataFrame) -> DataFrame:
     linked = written(simhash.links(first.select("fp"), first.count(), DISTANCE), "simhash_links").toDF("left", "right")
     one, two = first.toDF("left", "a"), first.toDF("right", "b")
     equal = nodes.select("fp", F.col("key").alias("b")).join(first.toDF("fp", "a"), "fp").where("a <> b")
-    return linked.join(one, "left").join(two, "right").select("a", "b").unionByName(equal.select("a", "b"))
+    pairs = linked.join(one, "left").join(two, "right").select("a", "b").unionByName(equal.select("a", "b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _chosen(pivots: DataFrame, roots: DataFrame) -> DataFrame:

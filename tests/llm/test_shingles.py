@@ -105,6 +105,7 @@ def about_one_text(seed, members):
 
 def test_pairs_grow_with_a_cluster_not_with_its_square(spark, monkeypatch):
     formed, stored = [], shingles.written
+    monkeypatch.setattr(shingles, "DIRECT", 16, raising=False)
 
     def counted(df, name):
         out = stored(df, name)
