@@ -13,7 +13,8 @@ Estimation. N-grams are dealt by language and the three symbols before the last.
 orders, of at most 2**24 n-grams a language, and the discounts are summed up first. The result is a table of n-grams
 and log-probabilities, kept as arrays sorted by key and looked up by binary search.
 
-Scoring. Up to ``MODEL_ROWS`` rows every worker gets the table. A larger one stays partitioned: documents are dealt into
+Scoring. Up to ``MODEL_ROWS`` rows every worker gets the table, as a broadcast that it reads in place and that is gone once the
+scores are written. A larger one stays partitioned: documents are dealt into
 chunks of a language, each chunk asks for its distinct n-grams once, a join answers, and chunk and answers meet in
 one task. Both ways give the same figures.
 
@@ -44,13 +45,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from quire.llm.scratch import small_side, written
+from quire.llm.scratch import TEXT_ROWS, small_side, written
 from quire.llm.text_arrays import code_points, gram_hashes, gram_mask, mix, owners, slices, span_hashes, split_words, tidy, word_hashes
 
 ORDER, LOWER = 6, 3  # LOWER: the highest order that is summed up first
 SYMBOL_BITS = 8
 SYMBOLS_MASK = (1 << SYMBOL_BITS * LOWER) - 1
 MODEL_ROWS = 8 << 20  # of 12 bytes, handed to every worker at most
+SCORED_BYTES = 1 << 18  # of texts scored at once, beside the model
 CHUNK_CHARS = 8 << 20  # of a chunk of documents that meets its part of a larger model
 LEAST_SPREAD = 0.5
 PPL_GRID, Z_GRID = 10_000, 100  # quantiles are exact over values on these grids: few distinct ones, in any order
@@ -143,7 +145,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
         yield from out()
 
     counted = rows.select("text", "lang", "first").mapInArrow(tidy(run), "lang string, key bigint, n bigint, once bigint")
-    counted = written(counted.groupBy("lang", "key").agg(*(F.sum(x).alias(x) for x in ("n", "once"))), "grams")
+    counted = written(counted.groupBy("lang", "key").agg(*(F.sum(x).alias(x) for x in ("n", "once"))), "grams", TEXT_ROWS)
     taught = {r[0] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0").collect()}
     return counted.withColumn("n", F.when(F.col("lang").isin(list(taught)), F.col("n")).otherwise(F.col("once"))).drop("once")
 
@@ -346,7 +348,7 @@ PPL = ["log_ppl", "low_ppl"]
 def _scored(ids: pa.Array, texts: pa.Array, langs: list[str], model: dict[str, Lookup], names: list[str]) -> pa.RecordBatch:
     """Statistics, characters, log_ppl and low_ppl of each text; model has all n-grams of its texts."""
     columns: list[list[np.ndarray]] = [[] for _ in range(len(STATISTICS) + 1 + len(PPL))]
-    for part in slices(texts):
+    for part in slices(texts, SCORED_BYTES):
         keys, bounds = gram_keys(part.data, part.bounds)
         size = np.diff(bounds)
         own = np.repeat(np.arange(len(size)), size)
@@ -375,7 +377,7 @@ def _sorted(table: pa.Table, below: list[Order]) -> Lookup:
 
 
 def score(docs: DataFrame, counts: DataFrame, id_col: str, text_col: str, lang_col: str, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """(id_col, lang, statistics, chars, log_ppl, low_ppl) of each row; the last two are null for a text without characters."""
+    """(id_col, lang, statistics, chars, log_ppl, low_ppl) of each row, stored; the last two are null for a text without characters."""
     id_kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_kind}, lang string, " + ", ".join(f"{x} bigint" for x in STATISTICS) + ", chars bigint, log_ppl double, low_ppl double"
     names = [id_col, "lang", *STATISTICS, "chars", *PPL]
@@ -383,13 +385,16 @@ def score(docs: DataFrame, counts: DataFrame, id_col: str, text_col: str, lang_c
     model = written(table, "model")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), named(lang_col).alias("lang"))
     if model.count() <= model_rows:
-        given = {lang: _sorted(model.where(F.col("lang") == lang).select("key", "logp").toArrow(), below) for lang, below in lower.items()}
+        # not in the function itself: a worker would keep its pickled bytes beside the arrays made from them
+        given = docs.sparkSession.sparkContext.broadcast({lang: _sorted(model.where(F.col("lang") == lang).select("key", "logp").toArrow(), below) for lang, below in lower.items()})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield _scored(batch["id"], batch["text"], batch["lang"].to_pylist(), given, names)
+                yield _scored(batch["id"], batch["text"], batch["lang"].to_pylist(), given.value, names)
 
-        return rows.mapInArrow(tidy(run), schema)
+        scored = written(rows.mapInArrow(tidy(run), schema), "scored", TEXT_ROWS)
+        given.destroy()
+        return scored
 
     chunks = 1 + (rows.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0) // CHUNK_CHARS
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)))
@@ -414,7 +419,7 @@ def score(docs: DataFrame, counts: DataFrame, id_col: str, text_col: str, lang_c
         own = {lang: _sorted(right, lower.get(lang, []))}
         return pa.Table.from_batches([_scored(b["id"], b["text"], b["lang"].to_pylist(), own, names) for b in left.combine_chunks().to_batches()], arrow)
 
-    return rows.groupBy("lang", "chunk").cogroup(answers.groupBy("lang", "chunk")).applyInArrow(met, schema)
+    return written(rows.groupBy("lang", "chunk").cogroup(answers.groupBy("lang", "chunk")).applyInArrow(met, schema), "scored")
 
 
 def judge(
@@ -433,7 +438,7 @@ def judge(
     counts = count_grams(first_copies(docs, id_col, text_col, lang_col))
     scored = score(docs, counts, id_col, text_col, lang_col, model_rows)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
-    scored = written(scored.withColumn("base_failed", failed), "scored")
+    scored = scored.withColumn("base_failed", failed)
     kind, root = docs.schema[lang_col].dataType, F.sqrt(F.greatest("chars", F.lit(1)))
     sound = scored.where("not base_failed and chars > 0").select("lang", "chars", *PPL).distinct()
     quarter = lambda c, grid, at: F.percentile(F.floor(c * grid) / grid, at)

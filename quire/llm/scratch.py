@@ -10,10 +10,13 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TEXT_ROWS = 1000  # of texts that a worker gets at once: Spark's 10,000 are some 50 MB, held by the worker and by its executor
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BROADCAST_ROWS = 1 << 20  # keys handed to every worker at most; more are joined by a shuffle
 _made: list[tuple[SparkSession, str]] = []
 
@@ -41,16 +44,31 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """What runs within hands workers batches of that many rows at most; None leaves the session's own number."""
+    before = spark.conf.get(BATCH_ROWS)
+    if rows is None or 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(BATCH_ROWS, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, read again, and its path."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with batches_of(spark, batch_rows):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    return stored(df, name)[0]
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    return stored(df, name, batch_rows)[0]
 
 
 def small_side(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,8 +5,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql.classic.dataframe import DataFrame
 
 from quire.llm import quality as q
+from quire.llm.scratch import BATCH_ROWS, TEXT_ROWS, written
 from quire.llm.text_arrays import slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -128,3 +131,26 @@ def test_odd_documents(odd_docs, no_docs):
     assert rows[5].n_words == 30_000
     assert q.judge(no_docs).count() == 0
     assert q.judge(odd_docs.where("doc_id in (3, 4)")).count() == 2
+
+
+def test_no_function_carries_the_model(spark, monkeypatch):
+    """A worker keeps the bytes of a function beside what it makes of them."""
+    shipped = []
+    plain = DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda df, run, *a, **b: shipped.append(len(cloudpickle.dumps(run))) or plain(df, run, *a, **b))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = q.count_grams(q.first_copies(docs, "doc_id", "text", "lang"))
+    assert q.score(docs, counts, "doc_id", "text", "lang").count() == docs.count()
+    assert len(shipped) == 4 and shipped[-1] < 100_000 < counts.count()
+    assert spark.conf.get(BATCH_ROWS) == "10000"
+
+
+def test_texts_reach_workers_in_small_batches(spark):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    def sizes(*rows):
+        return {r.n for r in written(spark.range(0, 12_000, 1, 1).mapInArrow(run, "n bigint"), "sizes", *rows).collect()}
+
+    assert sizes(TEXT_ROWS) == {TEXT_ROWS} and sizes() == {10_000, 2_000}
