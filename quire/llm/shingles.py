@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import simhash
 from quire.llm.components import connected_components
-from quire.llm.scratch import TEXT_ROWS, small_side, written
+from quire.llm.scratch import TEXT_ROWS, batches_of, small_side, written
 from quire.llm.text_arrays import gram_hashes, gram_mask, mix, owners, slices, span_hashes, split_words, tidy, word_hashes
 
 SIMILAR = (4, 5)  # the least similarity, as a fraction
@@ -282,7 +282,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "key", "n", "sketch", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = written(docs.select(id_col, text_col).mapInArrow(tidy(names), f"`{id_col}` {kind}, key bigint, n bigint, sketch binary, fp bigint"), "set_names", TEXT_ROWS)
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        rows = written(docs.select(id_col, text_col).mapInArrow(tidy(names), f"`{id_col}` {kind}, key bigint, n bigint, sketch binary, fp bigint"), "set_names")
     nodes = written(rows.groupBy("key").agg(F.min(id_col).alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("fp").alias("fp")), "nodes")
     rows = rows.select(id_col, "key")
     roots = connected_components(links(docs.select(id_col, text_col), nodes, rows.count(), k)).withColumnRenamed("node", "key")
@@ -371,7 +372,8 @@ def _differences(docs: DataFrame, nodes: DataFrame, chosen: DataFrame, frequent:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["key", "pivot", "root", "n", "size", "near", "apart"])
 
     need = written(chosen.select(F.explode(F.array("key", "pivot")).alias("key")).distinct(), "differing")
-    sets = written(_sets(docs, nodes, need, k), "member_sets", TEXT_ROWS)
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        sets = written(_sets(docs, nodes, need, k), "member_sets")
     both = chosen.join(sets, "key").join(sets.toDF("pivot", "other"), "pivot").select("key", "pivot", "root", "grams", "other")
     return written(both.mapInArrow(tidy(run), "key bigint, pivot bigint, root bigint, n bigint, size bigint, near bigint, apart binary"), "differences")
 
@@ -445,7 +447,9 @@ def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int) -> Dat
     sized = nodes.select("key", F.concat(F.unhex(F.lpad(F.hex("n"), 16, "0")), "sketch").alias("sketch"))
     pairs = _compared(written(pairs.distinct(), "met"), sized, "sketch", _close, "pairs")
     need = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "compared")
-    return _compared(pairs, written(_sets(docs, nodes, need, k), "sets", TEXT_ROWS), "grams", _overlap, "similar")
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        sets = written(_sets(docs, nodes, need, k), "sets")
+    return _compared(pairs, sets, "grams", _overlap, "similar")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, need: DataFrame, k: int) -> DataFrame:
