@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 TEXT_ROWS = 1000  # of texts that a worker gets at once: Spark's 10,000 are some 50 MB, held by the worker and by its executor
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+READ_ROWS = "spark.sql.parquet.columnarReaderBatchSize"  # of long texts, 4,096 are arrays of tens of MB, copied whenever they grow
 BROADCAST_ROWS = 1 << 20  # keys handed to every worker at most; more are joined by a shuffle
 _made: list[tuple[SparkSession, str]] = []
 
@@ -45,17 +46,22 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
-    """What runs within hands workers batches of that many rows at most; None leaves the session's own number."""
-    before = spark.conf.get(BATCH_ROWS)
+def at_most(spark: SparkSession, setting: str, rows: int | None) -> Iterator[None]:
+    """What runs within has that number of rows in a setting at most; None leaves the session's own number."""
+    before = spark.conf.get(setting)
     if rows is None or 0 < int(before) <= rows:
         yield
         return
-    spark.conf.set(BATCH_ROWS, rows)
+    spark.conf.set(setting, rows)
     try:
         yield
     finally:
-        spark.conf.set(BATCH_ROWS, before)
+        spark.conf.set(setting, before)
+
+
+def batches_of(spark: SparkSession, rows: int | None) -> contextlib.AbstractContextManager[None]:
+    """What runs within hands workers batches of that many rows at most."""
+    return at_most(spark, BATCH_ROWS, rows)
 
 
 def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> tuple[DataFrame, str]:

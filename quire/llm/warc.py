@@ -27,14 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.scratch import new_path, written
+from quire.llm.scratch import READ_ROWS, at_most, batches_of, new_path, written
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES, PIECE_BYTES = 1 << 20, 1 << 14
 # Bytes of a file at most, before compression; transactions of a file at most; bytes of a transaction besides its payload.
 FILE_BYTES, MOST_IN_FILE, HEADERS_BYTES = 128 << 20, 1000, 2048
+PAGE_ROWS = 256  # pages that a reader or a worker holds at once
+# Of payloads with copies, digests, ids and URLs that go to every worker at most, and what one takes besides; more are joined by a shuffle.
+BROADCAST_BYTES, DIGEST_BYTES = 32 << 20, 128
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -59,23 +62,31 @@ def record(kind: bytes, fields: list[tuple[bytes, bytes]], block: bytes) -> byte
     return member[:-1] if member[-1] == 0 else member + zlib.compress(b"", 6, 31)[:-1]
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = 0, date: str = "1970-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = 0, date: str = "1970-01-01T00:00:00Z", file_bytes: int = FILE_BYTES, most_broadcast: int = BROADCAST_BYTES) -> None:
     """Write each row's transaction; equal payloads of at least ``least_revisit`` bytes are stored once.
 
     A file takes as many transactions as fit ``file_bytes`` if all payloads are as large as the largest, so that it can be
-    read back whole; one that does not fit has a file of its own.
+    read back whole; one that does not fit has a file of its own. Payloads stay where they are read: the digests that
+    repeat go to them, or if these take more than ``most_broadcast`` bytes, both meet in a shuffle.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    largest = rows.agg(F.max(F.length("payload"))).first()[0] or 0
-    each = max(1, min(MOST_IN_FILE, file_bytes // (largest + HEADERS_BYTES)))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    same = rows.where(F.col("id").isNotNull() & (F.length("payload") >= least_revisit)).groupBy("digest")
-    same = same.agg(F.min(F.struct("id", "url")).alias("first"), F.max("id").alias("last")).where("first.id < last")
-    # only ids and digests meet here: a payload that many rows share is no heavy key
-    again = rows.select("id", "digest").join(same, "digest").where("id > first.id").distinct()
-    again = again.select(F.col("id").alias("again_id"), F.col("digest").alias("again_digest"), F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"))
-    marked = rows.join(again, (F.col("id") == F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left")
-    marked = marked.select(F.col("id").cast("string"), "url", "payload", F.col("first_id").cast("string"), "first_url", F.col("again_id").isNotNull().alias("revisit"))
+    # payloads are read here for what their digests tell, and once more to be written
+    spark, known = pages.sparkSession, F.when(F.col("id").isNotNull(), F.struct("id", "url"))
+    with at_most(spark, READ_ROWS, PAGE_ROWS):
+        digests = rows.select("id", "digest", known.alias("known"), F.length("payload").alias("bytes")).groupBy("digest")
+        digests = written(digests.agg(F.min("known").alias("first"), F.max("id").alias("last"), F.max("bytes").alias("bytes")), "digests")
+    largest = digests.agg(F.max("bytes")).first()[0] or 0
+    each = max(1, min(MOST_IN_FILE, file_bytes // (largest + HEADERS_BYTES)))
+    same = digests.where((F.col("bytes") >= least_revisit) & (F.col("first.id") < F.col("last"))).select(F.col("digest").alias("of"), "first")
+    taken = same.agg(F.sum(F.length(F.col("first.id").cast("string")) + F.coalesce(F.length("first.url"), F.lit(0)) + DIGEST_BYTES)).first()[0] or 0
+    if taken <= most_broadcast:
+        marked = rows.join(F.broadcast(same), (F.col("digest") == F.col("of")) & (F.col("id") > F.col("first.id")), "left")
+    else:
+        # only ids and digests meet here: a payload that many rows share is no heavy key
+        again = rows.select(F.col("id").alias("again_id"), F.col("digest").alias("of")).join(same, "of").where("again_id > first.id").distinct()
+        marked = rows.join(again, (F.col("id") == F.col("again_id")) & (F.col("digest") == F.col("of")), "left")
+    marked = marked.select(F.col("id").cast("string"), "url", "payload", F.col("first.id").cast("string").alias("first_id"), F.col("first.url").alias("first_url"), F.col("of").isNotNull().alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -112,7 +123,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     records = marked.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", "\0").option("maxRecordsPerFile", 3 * each).text(path)
+    with batches_of(spark, PAGE_ROWS), at_most(spark, READ_ROWS, PAGE_ROWS):
+        records.write.option("lineSep", "\0").option("maxRecordsPerFile", 3 * each).text(path)
 
 
 RECORD = (
@@ -127,11 +139,15 @@ def members(content: bytes) -> Iterator[bytes]:
         if content:
             yield content
         return
-    rest = memoryview(content)
-    while len(rest):
-        unzip = zlib.decompressobj(31)
-        yield unzip.decompress(rest) + unzip.flush()
-        rest = rest[len(rest) - len(unzip.unused_data) :] if unzip.unused_data else rest[:0]
+    at, rest = 0, memoryview(content)
+    while at < len(rest):
+        # a bounded piece at a time: what lies behind the member is copied out of the piece, not out of the file
+        unzip, out = zlib.decompressobj(31), []
+        while not unzip.eof and at < len(rest):
+            piece = rest[at : at + PIECE_BYTES]
+            out.append(unzip.decompress(piece))
+            at += len(piece) - len(unzip.unused_data)
+        yield b"".join(out) + unzip.flush()
 
 
 def parse(data: bytes) -> Iterator[tuple]:
@@ -201,7 +217,7 @@ def captures(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
 
     Archives are parsed once: the records go to a table in the shared folder, whose three kinds are then joined.
     """
-    records = written(read_warc(spark, path, ("response", "revisit", "request", "metadata"), payloads), "records")
+    records = written(read_warc(spark, path, ("response", "revisit", "request", "metadata"), payloads), "records", batch_rows=1)
     main = records.where(F.col("type").isin("response", "revisit"))
     nested = main.select("record_id", "target_uri", "date", F.struct("type", "http_headers", "payload_digest", "payload_bytes", "payload", "refers_to_uri").alias("response"))
     request = records.where("type = 'request'").select(F.col("concurrent_to").alias("of"), F.struct("record_id", "http_headers").alias("request"))

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import tracemalloc
 import zlib
 
 from quire.llm import warc
@@ -51,3 +52,49 @@ def test_short_payloads_can_stay_responses_and_empty_tables_work(spark):
     found = warc.captures(spark, warc.archive(df, least_revisit=5))
     assert sorted(r.response.type for r in found.collect()) == ["response"] * 3 + ["revisit"]
     assert warc.captures(spark, warc.archive(df.limit(0))).count() == 0
+
+
+def shuffled_bytes(spark):
+    store, doubles = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = store.stageList(None, False, False, doubles, spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_payloads_are_not_shuffled_to_find_copies(spark):
+    payload = warc.F.concat_ws("", *(warc.F.sha2(warc.F.concat_ws("-", warc.F.col("id") % 400, warc.F.lit(i)), 512) for i in range(40)))
+    df = spark.range(0, 500, 1, 4).select(warc.F.col("id").alias("page_id"), warc.F.lit("http://a").alias("url"), payload.alias("html"))
+    before = shuffled_bytes(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        path = warc.archive(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled_bytes(spark) - before < 500 * 128 * 40 // 8
+    found = warc.captures(spark, path, payloads=False).collect()
+    assert {int(r.metadata.fields["sourceId"]): int(r.metadata.fields["refersToSourceId"]) for r in found if r.response.type == "revisit"} == {i: i - 400 for i in range(400, 500)}
+    assert len(found) == 500
+
+
+def test_copies_are_marked_alike_by_broadcast_and_by_shuffle(spark):
+    rows = [(1, "u1", "abc"), (1, "u0", "abc"), (2, "u2", "abc"), (2, None, "xyz"), (2, "u2", "abc"), (3, "u3", "xyz"), (None, "u4", "abc"), (None, "u5", None), (7, "u6", None), (9, None, ""), (4, "u7", "only")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    made = []
+    for most in (0, 1 << 20):
+        found = warc.captures(spark, warc.archive(df, most_broadcast=most)).collect()
+        made.append(sorted((r.metadata.fields.get("sourceId", ""), r.target_uri, r.response.type, r.metadata.fields.get("refersToSourceId", ""), r.response.refers_to_uri or "", r.response.payload_digest) for r in found))
+    assert made[0] == made[1] and len(made[0]) == len(rows)
+    marks = [(i, kind, first, uri) for i, _, kind, first, uri, _ in made[1] if kind == "revisit"]
+    assert marks == [("2", "revisit", "1", "u0"), ("2", "revisit", "1", "u0"), ("3", "revisit", "2", "urn:x-unknown:"), ("9", "revisit", "7", "u6")]
+
+
+def test_members_copy_no_more_than_a_piece_of_the_file():
+    payload = hashlib.sha512(b"x").hexdigest().encode() * 8
+    content = (warc.record(b"resource", [], payload) + b"\0") * 4000
+    tracemalloc.start()
+    n = sum(1 for m in warc.members(content) if m)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 4000 and len(content) > 500_000 and peak < 200_000
+    assert list(warc.members(content[:-len(content) // 4000])) == list(warc.members(content))[:-1]
+    long = warc.record(b"resource", [], bytes(range(256)) * 4000) + b"\0"
+    assert [len(m) for m in warc.members(long * 2)] == [len(zlib.decompress(long, 31))] * 2
